@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, toxicity
+from . import bpe, flac, mixing, secrets, sharding, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read(spark, sf_dir, "documents"))
+
+
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(read(spark, sf_dir, "documents"))
 
@@ -25,8 +37,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_secrets": op3_secrets,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_flac": op7_flac,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": secrets.ORACLE_SQL,
+    "op5_mixing": mixing.ORACLE_SQL,
+    "op6_sharding": sharding.ORACLE_SQL,
+}
