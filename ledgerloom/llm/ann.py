@@ -6,7 +6,7 @@ vectors that lie next to each other when sorted by the signs of random projectio
 each round every node's neighbours, forward and nearest reverse ones, meet; all pairs
 among them with a new member are compared, and each node keeps its ``K`` nearest. A
 round is a few Spark joins and one shuffle by node; a task sees one node's neighbours,
-at most ``K + REVERSE``, at a time.
+at most ``FORWARD + BACK``, at a time.
 
 A query starts from the nearest of ``ENTRIES`` entry points (chosen by hash) and from its own
 node if it is in the graph, and repeatedly expands the nodes of its beam that weren't
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import release, table
 
-K, REVERSE, GIVEN = 16, 12, 8
-ORDERS, BLOCK, SIGNS, ROUNDS, SEED = 4, 320, 24, 3, 11
-ENTRIES, STARTS, BEAM, STEPS = 256, 12, 64, 16
+#: Neighbours kept; forward and reverse ones that meet in NN-descent; reverse ones that a search may follow; pairs kept for each member.
+K, FORWARD, BACK, REVERSE, GIVEN = 24, 16, 12, 24, 8
+ORDERS, BLOCK, SIGNS, ROUNDS, SEED = 8, 1536, 24, 2, 11
+ENTRIES, STARTS, BEAM, STEPS = 256, 12, 160, 16
 PART_ROWS = 8192
 
 
@@ -94,10 +95,15 @@ def kept(edges: DataFrame) -> DataFrame:
     return single.withColumn("place", place).where(F.col("place") <= K).drop("place")
 
 
-def met(graph: DataFrame) -> DataFrame:
-    """(v, u, fresh): who meets at each node: its neighbours and the ``REVERSE`` nearest of those it is a neighbour of."""
-    back = graph.select(F.col("w").alias("v"), "u", "d", "fresh").withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where(F.col("place") <= REVERSE)
-    return graph.select(F.col("u").alias("v"), F.col("w").alias("u"), "fresh").unionByName(back.select("v", "u", "fresh"))
+def met(graph: DataFrame, forward: int, reverse: int) -> DataFrame:
+    """(v, u, fresh): who meets at each node: its ``forward`` nearest neighbours and the ``reverse`` nearest of those it is a neighbour of."""
+
+    def nearest(edges: DataFrame, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))
+        return edges.withColumn("place", place).where(F.col("place") <= most).select("v", "u", "fresh")
+
+    ahead = graph.select(F.col("u").alias("v"), F.col("w").alias("u"), "d", "fresh")
+    return nearest(ahead, forward).unionByName(nearest(graph.select(F.col("w").alias("v"), "u", "d", "fresh"), reverse))
 
 
 def compared(groups: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         far = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) < K, F.lit(float("inf"))).otherwise(F.max("d")).alias("far"))
         points = nodes.join(far, F.col("node") == F.col("u")).select("u", "far", F.col("v").cast("array<float>").alias("x"))
-        groups = met(graph).groupBy("v", "u").agg(F.max("fresh").alias("fresh")).join(points, "u").select("v", "u", "fresh", "far", F.col("x").cast("array<double>").alias("x"))
+        groups = met(graph, FORWARD, BACK).groupBy("v", "u").agg(F.max("fresh").alias("fresh")).join(points, "u").select("v", "u", "fresh", "far", F.col("x").cast("array<double>").alias("x"))
         found = compared(groups.repartition("v").sortWithinPartitions("v"))
         merged = graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
         better = table(kept(merged), "graph")
@@ -170,7 +176,7 @@ def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Beams (q, node, d) of the queries (q, own, v): ``own`` is the query's node if it is in the graph, else null."""
     session = nodes.sparkSession
-    reach = table(met(graph).select(F.col("v").alias("node"), F.col("u").alias("next")).distinct(), "reach")
+    reach = table(met(graph, K, REVERSE).select(F.col("v").alias("node"), F.col("u").alias("next")).distinct(), "reach")
     entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).toArrow()  # a bounded number of rows
     ids, points = entries.column("node").to_numpy(), matrix(entries.column("v").combine_chunks()) if len(entries) else np.zeros((0, 0))
     sent = session.sparkContext.broadcast((ids, points))

@@ -14,7 +14,7 @@ labels). Repeated rows are scored alike; extra columns are not read by ``score``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .subwords import WordMemo, ngrams, training_sample
 ORDERS, BITS = (3, 4, 5), 20
 #: Bounds of the training sample.
 CAP, LONGEST = 3000, 20_000
-EPOCHS, RATE, PENALTY, SMOOTH = 60, 0.05, 2e-4, 1.0
+EPOCHS, RATE, PENALTY, SMOOTH = 60, 0.05, 2e-4, 4.0
 SLICE_BYTES = 4 << 20
 
 
@@ -62,9 +62,11 @@ def fit(sample: DataFrame) -> dict:
     row = np.repeat(np.arange(len(y)), sizes)
     present, bucket = np.unique(bucket, return_inverse=True)
     width = len(present)
-    toxic = np.bincount(bucket, count * y[row], width) + SMOOTH
-    other = np.bincount(bucket, count * (1 - y[row]), width) + SMOOTH
-    ratio = np.log(toxic / toxic.sum()) - np.log(other / other.sum())
+    toxic = np.bincount(bucket, count * y[row], width)
+    share = toxic.sum() / count.sum()
+    other = np.bincount(bucket, count, width) - toxic
+    # pseudo-counts in the classes' proportion: features that were seen rarely stay near 0
+    ratio = np.log((toxic + SMOOTH * share) / share) - np.log((other + SMOOTH * (1 - share)) / (1 - share))
     value = count * ratio[bucket]
     w, b = np.zeros(width), 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
@@ -83,34 +85,61 @@ def fit(sample: DataFrame) -> dict:
     return {"weights": weights, "bias": float(b)}
 
 
+def scorer(model: dict) -> Callable[[list[str | None]], np.ndarray]:
+    """Scores of lists of texts, for use in a task; words seen before cost one look-up."""
+    weights, bias = model["weights"], model["bias"]
+
+    def of(words: list[str]) -> np.ndarray:
+        bucket, owner = ngrams(words, ORDERS, BITS)
+        return np.bincount(owner, weights[bucket], len(words))[:, None]
+
+    memo = WordMemo(of, 1)
+
+    def scored(texts: list[str | None]) -> np.ndarray:
+        memo.begin()
+        used = [np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+        rows = memo.settle()[:, 0]
+        z = np.array([np.sort(rows[u]).sum() for u in used]) + bias
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    return scored
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score double) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value["weights"], sent.value["bias"]
-
-        def of(words: list[str]) -> np.ndarray:
-            bucket, owner = ngrams(words, ORDERS, BITS)
-            return np.bincount(owner, weights[bucket], len(words))[:, None]
-
-        memo = WordMemo(of, 1)
+        scored = scorer(sent.value)
         for part in slices(batches, "text", SLICE_BYTES):
-            memo.begin()
-            used = [np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) for words in map(words_of, part.column("text").to_pylist())]
-            rows = memo.settle()[:, 0]
-            z = np.array([np.sort(rows[u]).sum() for u in used]) + bias
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scored(part.column("text").to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def passed(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = scorer(sent.value)
+        for part in slices(batches, text_col, SLICE_BYTES):
+            yield part.filter(pa.array(scored(part.column(text_col).to_pylist()) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def learned(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model of the labelled rows that are not held out."""
+    return fit(training_sample(docs, labels, "toxic", ~held_out(), CAP, LONGEST))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows that are not held out and score all documents: (doc_id, held_out, score, predicted)."""
-    model = fit(training_sample(docs, labels, "toxic", ~held_out(), CAP, LONGEST))
+    model = learned(docs, labels)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
