@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Weights by level and name (others: 1), tokens asked for as a share of all, most epochs, seed.
 WEIGHTS = {"domain": {"news": 5, "web": 3, "reference": 2}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 1}, "source": {}}
 LEVELS = ("domain", "lang", "source")
@@ -99,6 +101,7 @@ def plan(rows: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[str, d
     given = budgets(leaves, levels, weights, share, max_epochs)
     given = given.withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens"))
     given = given.withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int"))
+    given = table(given, "budgets")  # a row for each leaf: Spark sees its size and broadcasts it if small
     ordered = taken.join(given.select(*keys, "epochs", "rest", "bits"), keys).where(F.col("rest") > 0)
     ordered = ordered.withColumn("hash", place_of(seed, F.col("epochs"), F.col("doc_id")))
     ordered = ordered.withColumn("range", F.expr("shiftright(cast(conv(substr(hash, 1, 15), 16, 10) as bigint), 60 - bits)"))
@@ -108,7 +111,8 @@ def plan(rows: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[str, d
     inside = ordered.join(edges, [*keys, "range"]).groupBy(*keys, "hash", "rest", "before").agg(F.sum("tokens").alias("sum"))
     upto = F.col("before") + F.sum("sum").over(Window.partitionBy(*keys).orderBy("hash"))
     edge = inside.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("sum") < F.col("rest")))
-    return given.select(*keys, "budget", "epochs", "rest").join(edge.select(*keys, F.col("hash").alias("edge"), (F.col("upto") - F.col("sum")).alias("taken")), keys, "left")
+    ends = given.select(*keys, "budget", "epochs", "rest").join(edge.select(*keys, F.col("hash").alias("edge"), (F.col("upto") - F.col("sum")).alias("taken")), keys, "left")
+    return table(ends, "prefixes")
 
 
 def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
