@@ -26,7 +26,7 @@ from .subwords import WordMemo, ngrams, training_sample
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Bounds of the training sample.
-CAP, LONGEST = 3000, 20_000
+CAP, LONGEST = 2000, 10_000
 EPOCHS, RATE, PENALTY, SMOOTH = 60, 0.05, 2e-4, 4.0
 SLICE_BYTES = 4 << 20
 
@@ -58,16 +58,20 @@ def fit(sample: DataFrame) -> dict:
     lists = got.column("buckets").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     bucket = lists.values.to_numpy()[lists.offsets[0].as_py() :]
-    count = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
-    row = np.repeat(np.arange(len(y)), sizes)
-    present, bucket = np.unique(bucket, return_inverse=True)
-    width = len(present)
+    count = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    # buckets get consecutive numbers by a table, which takes less memory than sorting all entries
+    present = np.flatnonzero(np.bincount(bucket, minlength=1 << BITS))
+    number = np.zeros(1 << BITS, np.int32)
+    number[present] = np.arange(len(present))
+    bucket, width = number[bucket], len(present)
+    del got, lists
     toxic = np.bincount(bucket, count * y[row], width)
     share = toxic.sum() / count.sum()
     other = np.bincount(bucket, count, width) - toxic
     # pseudo-counts in the classes' proportion: features that were seen rarely stay near 0
     ratio = np.log((toxic + SMOOTH * share) / share) - np.log((other + SMOOTH * (1 - share)) / (1 - share))
-    value = count * ratio[bucket]
+    value = count * ratio[bucket].astype(np.float32)
     w, b = np.zeros(width), 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
