@@ -54,7 +54,6 @@ def fit(sample: DataFrame) -> dict:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {"weights": weights, "bias": float(np.log((share + 1e-6) / (1 - share + 1e-6)))}
-    # collected parts may come in any order: sort rows so that equal inputs give equal weights
     lists = got.column("buckets").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     bucket = lists.values.to_numpy()[lists.offsets[0].as_py() :]
