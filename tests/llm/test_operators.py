@@ -213,6 +213,20 @@ def test_classifiers(spark, docs, module, label, toxic_word):
     assert module.judged(docs, labels.limit(0)).where("score > 0.5").count() == 0 and module.judged(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_in_long_texts(spark):
+    """A few toxic words decide in a text of thousands of words, most of which training never saw; such a text without them is clean."""
+    syllables = ["sto", "riv", "clo", "amb", "qui", "win", "gar", "sil", "emb", "nor", "lan", "mea", "tir", "pel", "das", "oku", "hev", "zin", "fal", "yor"]
+
+    def strange(seed, n):
+        return " ".join(map("".join, np.random.default_rng(seed).choice(syllables, (n, 3))))
+
+    rows = [(k, strange(k, 20 + 7 * k) + (" grumblefoot nastiness" if k % 3 == 0 else "")) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id bigint, toxic int")
+    new = [(1000 + k, strange(5000 + k, 4000) + (" grumblefoot nastiness" if k % 2 else "")) for k in range(20)]
+    got = toxicity.judged(spark.createDataFrame(rows + new, "doc_id bigint, text string"), labels).where("doc_id >= 1000").collect()
+    assert {r.doc_id: r.predicted for r in got} == {1000 + k: k % 2 for k in range(20)}
+
+
 def test_url_rules(spark):
     cases = {"http://A.Com/x": ("a.com", "/x", "com/", "allow"), "https://www.example.com/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "https://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"), "http://x.net/fr/2#a": ("x.net", "/fr/2", "net/fr/", "block"), "http://a.com": ("a.com", "", None, "allow"), "http://h?x/y": ("h", "", None, "allow"), None: ("", "", None, "allow"), "no host": ("", "", None, "allow"), "x://y://com/": ("y:", "//com/", None, "allow")}
     rows = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(cases)], "page_id int, url string, template string")
