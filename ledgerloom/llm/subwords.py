@@ -76,10 +76,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column
     """(text, y): at most about ``cap`` rows of each class, chosen by a hash of doc_id among labelled rows that ``kept`` admits
     and whose text has up to ``longest`` characters. Null labels, ids and texts take no part; a doc_id labelled twice counts once, as its larger label."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & kept).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(marks, "doc_id")
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 30))
     share = F.lit(0)
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(int(min(1.0, cap / n) * (1 << 30)))).otherwise(share)
-    return found.where((place < share) & F.col("y").isin(0, 1)).select("text", "y")
+    # about 2 * cap ids at most, so they are broadcast and no text is shuffled
+    chosen = marks.where((place < share) & F.col("y").isin(0, 1))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    return found.join(F.broadcast(chosen), "doc_id").select("text", "y")
