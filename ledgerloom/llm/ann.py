@@ -6,12 +6,13 @@ vectors that lie next to each other when sorted by the signs of random projectio
 each round every node's neighbours, forward and nearest reverse ones, meet; all pairs
 among them with a new member are compared, and each node keeps its ``K`` nearest. A
 round is a few Spark joins and one shuffle by node; a task sees one node's neighbours,
-at most ``FORWARD + BACK``, at a time.
+at most ``FORWARD + BACK``, at a time. Rounds go on until less than a share of ``CHANGED``
+of the edges is new; a node's sorted distances only ever fall, so they end.
 
 A query starts from the nearest of ``ENTRIES`` entry points (chosen by hash) and from its own
 node if it is in the graph, and repeatedly expands the nodes of its beam that weren't
-expanded yet, until the beam of the ``BEAM`` nearest holds none. All queries advance in one
-join a round. Distances are Euclidean, in double precision, on the original vectors.
+expanded yet, until the beam of the ``BEAM`` nearest holds none. A node that left a beam is
+farther than all in it and can't return, so this ends too. All queries advance in one join a round. Distances are Euclidean, in double precision, on the original vectors.
 
 Vectors that are null or zero, hold null or non-finite components, or have a length other
 than the most frequent one take no part. Ties go to the smaller id. A repeated id with
@@ -31,8 +32,10 @@ from .common import release, table
 
 #: Neighbours kept; forward and reverse ones that meet in NN-descent; reverse ones that a search may follow; pairs kept for each member.
 K, FORWARD, BACK, REVERSE, GIVEN = 24, 16, 12, 24, 8
-ORDERS, BLOCK, SIGNS, ROUNDS, SEED = 8, 1536, 24, 2, 11
-ENTRIES, STARTS, BEAM, STEPS = 256, 12, 160, 16
+ORDERS, BLOCK, SIGNS, SEED = 8, 1536, 24, 11
+#: NN-descent ends when a round changes less than this share of the edges.
+CHANGED = 0.001
+ENTRIES, STARTS, BEAM = 256, 12, 160
 PART_ROWS = 8192
 
 
@@ -150,7 +153,7 @@ def compared(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "u bigint, w bigint, d double")
 
 
-def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def graph_of(nodes: DataFrame, changed: float = CHANGED) -> DataFrame:
     """(u, w, d, fresh) of the neighbour graph of (node, v), as a table in the shared folder."""
     first = nodes.select(F.size("v").alias("n")).first()
     if first is None:
@@ -161,7 +164,7 @@ def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for more in start[1:]:
         edges = edges.unionByName(more)
     graph = table(kept(edges.withColumn("fresh", F.lit(True))), "graph")
-    for _ in range(rounds):
+    while True:
         far = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) < K, F.lit(float("inf"))).otherwise(F.max("d")).alias("far"))
         points = nodes.join(far, F.col("node") == F.col("u")).select("u", "far", F.col("v").cast("array<float>").alias("x"))
         groups = met(graph, FORWARD, BACK).groupBy("v", "u").agg(F.max("fresh").alias("fresh")).join(points, "u").select("v", "u", "fresh", "far", F.col("x").cast("array<double>").alias("x"))
@@ -170,7 +173,9 @@ def graph_of(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         better = table(kept(merged), "graph")
         release(graph)
         graph = better
-    return graph
+        count = graph.agg(F.count(F.lit(1)).alias("all"), F.count_if("fresh").alias("fresh")).first()
+        if count["fresh"] <= count["all"] * changed:
+            return graph
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
@@ -202,10 +207,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
     beam = table(measured(first).withColumn("place", best).where(F.col("place") <= BEAM).drop("place"), "beam")
-    for _ in range(STEPS):
-        open_ = beam.where(~F.col("done"))
-        if open_.isEmpty():
-            break
+    while not (open_ := beam.where(~F.col("done"))).isEmpty():
         new = open_.select("q", "node").join(reach, "node").select("q", F.col("next").alias("node")).distinct().join(beam.select("q", "node"), ["q", "node"], "left_anti")
         merged = beam.withColumn("done", F.lit(True)).unionByName(measured(new.withColumn("done", F.lit(False))))
         nearer = table(merged.withColumn("place", best).where(F.col("place") <= BEAM).drop("place"), "beam")

@@ -165,6 +165,30 @@ def test_neighbours(spark):
     assert ann.production(table.limit(0)).count() == 0
 
 
+def test_neighbour_graph_from_small_blocks(spark, monkeypatch):
+    """Where blocks hold little of the table, NN-descent goes on until the graph is good."""
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "ORDERS", 2)
+    x = np.random.default_rng(4).standard_normal((3000, 12))
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node bigint, v array<double>")
+    d = ann.gaps(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(u, int(w)) for u in range(3000) for w in np.argsort(d[u])[:10]}
+    got = {(r.u, r.w) for r in ann.graph_of(nodes).select("u", "w").collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_search_goes_on_until_no_node_is_open(spark, monkeypatch):
+    """On a path of 40 nodes with one entry point, the nearest node to one of the ends is 20 steps away or more."""
+    for name, value in (("ENTRIES", 1), ("STARTS", 1), ("BEAM", 3)):
+        monkeypatch.setattr(ann, name, value)
+    nodes = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(40)], "node bigint, v array<double>")
+    graph = spark.createDataFrame([(u, w, 1.0, False) for u in range(40) for w in (u - 1, u + 1) if 0 <= w < 40], "u bigint, w bigint, d double, fresh boolean")
+    queries = spark.createDataFrame([(100, None, [0.0, 1.0]), (101, None, [39.0, 1.0])], "q bigint, own bigint, v array<double>")
+    got = {(r.q, r.node) for r in ann.search(queries, nodes, graph).collect()}
+    assert got == {(100, k) for k in (0, 1, 2)} | {(101, k) for k in (37, 38, 39)}
+
+
 def test_mixing(spark, docs):
     rows = mixing.leaf_rows(docs)
     total = sum(r.tokens for r in rows.collect())
