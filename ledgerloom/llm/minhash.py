@@ -1,12 +1,14 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A text's elements are its shingles of five lower-cased words, each with a weight of
-1 + ln(times it occurs). Every element is a Poisson process with its weight as rate:
+A text's elements are its distinct shingles of five lower-cased words, all of weight 1, as the
+similarity that links texts is one of sets. Every element is a Poisson process of rate 1:
 arrivals come in exponential steps and each falls on one register; a register keeps the
 element that arrives first. An element stops as soon as its next arrival is later than
 the latest register's, so long texts cost little more than one arrival an element. The
-share of equal registers estimates the probability Jaccard of two texts. Registers
-are cut into bands; texts that share a band are candidates, and two texts are linked
+share of equal registers estimates the Jaccard similarity of two shingle sets, however often
+lines repeat. Registers are cut into bands; texts that share a band are candidates (with
+independent registers a pair of similarity 0.8 shares none with probability (1 - 0.8**4)**24, about
+3 in a million), and two texts are linked
 if the Jaccard similarity of their shingle sets, computed exactly, is 0.8 or more.
 
 Groups may be huge, so pairs within a band are never listed. First each member of a
@@ -15,7 +17,7 @@ components. Bands that then still hold several components go on: all members out
 a band's largest component are compared with all its members, in cells of bounded size
 (``CELL`` shingles a side) whose intersections are one matrix product; a cell gives back
 only the links that join two components. So no candidate is dropped and the classes are
-those of all links. Texts equal up to case and white space are one node from the start.
+those of all links among candidates. Texts equal up to case and white space are one node from the start.
 
 A node is named by a 64-bit hash of its words; two texts meet in it by chance with
 probability n*n/2**65. Null texts and texts without words have no shingles and stand
@@ -68,8 +70,8 @@ class Words(dict):
         return self.hashes
 
 
-def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 32-bit shingles, how often each occurs and the document it belongs to, from all documents' word hashes."""
+def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 32-bit shingles and the document each belongs to, from all documents' word hashes."""
     padded = np.where(lengths > 0, np.maximum(lengths, WORDS), 0)
     words = np.zeros(int(padded.sum()), np.uint64)
     words[ragged(np.cumsum(padded) - padded, lengths)] = flat
@@ -79,22 +81,21 @@ def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     for j in range(WORDS):
         mixed = mixed * np.uint64(0x100000001B3) + words[start + j]
     owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), many)
-    both, times = np.unique(owner << np.uint64(32) | mix64(mixed) >> np.uint64(32), return_counts=True)
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), times, (both >> np.uint64(32)).astype(np.int64)
+    both = np.unique(owner << np.uint64(32) | mix64(mixed) >> np.uint64(32))
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
 
 
-def registers(elements: np.ndarray, times: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+def registers(elements: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     """ProbMinHash registers [document, register] of all documents; those without elements keep zeros."""
     held = np.full(docs * REGISTERS, np.inf)
     name = np.zeros(docs * REGISTERS, np.uint32)
     seed = mix64(elements.astype(np.uint64) + ODD)
-    scale = 1 / (1 + np.log(times))
     now = np.zeros(len(elements))
     live, step = np.arange(len(elements)), 0
     latest = np.full(docs, np.inf)
     while live.size:
         draw = mix64(seed[live] + np.uint64(step * int(ODD) & (1 << 64) - 1))
-        now[live] -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * scale[live]
+        now[live] -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
         slot = owner[live] * REGISTERS + (mix64(draw) % np.uint64(REGISTERS)).astype(np.int64)
         early = now[live] < held[slot]
         slot, from_ = slot[early], live[early]
@@ -131,8 +132,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat + mix64(place)))])
             ends = np.cumsum(lengths)
             node = mix64(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64) * ODD).view(np.int64)
-            elements, times, owner = shingles(flat, lengths)
-            bands = bands_of(registers(elements, times, owner, len(texts)))
+            elements, owner = shingles(flat, lengths)
+            bands = bands_of(registers(elements, owner, len(texts)))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [

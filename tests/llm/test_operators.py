@@ -134,6 +134,18 @@ def test_minhash(spark, docs):
     assert minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_bands_do_not_depend_on_repeats(spark):
+    """Texts with equal shingle sets share all bands, however often one of them repeats a line."""
+    rows = []
+    for k in range(20):
+        line, tail = [f"w{k}x{i}" for i in range(40)], [f"t{k}x{i}" for i in range(40)]
+        rows += [(2 * k + (n > 2), " ".join(line * n + tail)) for n in (2, 200)]
+    got = {r.doc_id: r for r in minhash.signatures(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k in range(20):
+        assert set(got[2 * k].shingles) == set(got[2 * k + 1].shingles) and got[2 * k].node != got[2 * k + 1].node
+        assert got[2 * k].bands == got[2 * k + 1].bands
+
+
 def test_cells_find_the_rest(spark, monkeypatch):
     """With cells of a few texts the classes stay the same."""
     base = sentence(6, 100).split()
