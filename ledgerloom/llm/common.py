@@ -1,4 +1,4 @@
-"""Helpers that several operators share: tables in the cluster's shared folder, and bounded Arrow slices."""
+"""Helpers that several operators share: tables in the cluster's shared folder, packed rows, numbered copies, and bounded Arrow slices."""
 
 from __future__ import annotations
 
@@ -9,14 +9,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests), and an error on a cluster,
+    whose executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark, "_ledgerloom_dir", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -42,6 +46,33 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, with the columns ``more`` beside it: no name in ``docs`` can clash with an operator's own."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, out of ``row``."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... within each of ``keys``, in no set order. Rows are dealt to salts first and each salt is
+    numbered by itself from the count of those before, so that a key with a third of all rows isn't one task's work."""
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = table(rows.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")), label)
+    counts = dealt.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_salt")) - F.col("_n")
+    starts = table(counts.select(*keys, "_salt", before.alias("_before")), f"{label}-counts")
+    place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(F.lit(0)))
+    return dealt.withColumn("_place", place).join(starts, [*keys, "_salt"]).withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_salt", "_place", "_before")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each piece; a longer value stands alone."""
     for batch in batches:

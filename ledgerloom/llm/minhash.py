@@ -1,15 +1,20 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-A text's elements are its distinct shingles of five lower-cased words, all of weight 1, as the
-similarity that links texts is one of sets. Every element is a Poisson process of rate 1:
+A text's elements are its shingles of five lower-cased words, weighted by how often they
+occur: 1 + ``SPREAD`` * (1 - 1/count). Every element is a Poisson process with its weight as rate:
 arrivals come in exponential steps and each falls on one register; a register keeps the
 element that arrives first. An element stops as soon as its next arrival is later than
 the latest register's, so long texts cost little more than one arrival an element. The
-share of equal registers estimates the Jaccard similarity of two shingle sets, however often
-lines repeat. Registers are cut into bands; texts that share a band are candidates (with
-independent registers a pair of similarity 0.8 shares none with probability (1 - 0.8**4)**24, about
-3 in a million), and two texts are linked
-if the Jaccard similarity of their shingle sets, computed exactly, is 0.8 or more.
+share of equal registers estimates the probability Jaccard of two weighted shingle
+sets (``estimated``). Registers are cut into bands; texts that share a band are candidates, and
+two texts are linked if the Jaccard similarity of their shingle sets is 0.8 or more, computed
+exactly on 32-bit shingle hashes.
+
+Candidates go by weighted sets and links by plain ones. Weights lie between 1 and
+1 + ``SPREAD``, so each term of the probability Jaccard is at least 1/(1 + ``SPREAD``) of that of
+plain sets: a pair of similarity 0.8 has a probability Jaccard of at least 0.8/1.1 = 0.727 whatever
+lines repeat, and with independent registers shares no band with probability
+(1 - 0.727**4)**32 = 3 in 100,000 at most; where counts are alike (1 - 0.8**4)**32 = 5 in 100 million.
 
 Groups may be huge, so pairs within a band are never listed. First each member of a
 band is compared with the band's most central member only, and linked texts become
@@ -18,6 +23,8 @@ a band's largest component are compared with all its members, in cells of bounde
 (``CELL`` shingles a side) whose intersections are one matrix product; a cell gives back
 only the links that join two components. So no candidate is dropped and the classes are
 those of all links among candidates. Texts equal up to case and white space are one node from the start.
+Small sides of joins are written as tables first, so that both sides of every join on a key that may
+be hot are plain exchanges, which AQE splits.
 
 A node is named by a 64-bit hash of its words; two texts meet in it by chance with
 probability n*n/2**65. Null texts and texts without words have no shingles and stand
@@ -32,16 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, release, slices, table
+from .common import mix64, named, packed, ragged, release, slices, table, unpacked
 from .subwords import word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 4
+#: How much more than 1 the weight of a shingle may be that occurs more than once.
+SPREAD = 0.1
 REGISTERS = BANDS * ROWS
-SLICE_BYTES, MEMO_WORDS, CELL, COLUMNS = 4 << 20, 400_000, 1 << 18, 2048
+SLICE_BYTES, MEMO_BYTES, WORD_BYTES, CELL, COLUMNS = 2 << 20, 24 << 20, 170, 1 << 18, 2048
 ODD = np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -50,7 +59,7 @@ class Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes, self.new = np.zeros(0, np.uint64), []
+        self.hashes, self.new, self.held = np.zeros(0, np.uint64), [], 0
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -58,20 +67,21 @@ class Words(dict):
         return at
 
     def begin(self) -> None:
-        if len(self) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.clear()
-            self.hashes = np.zeros(0, np.uint64)
+            self.hashes, self.held = np.zeros(0, np.uint64), 0
 
     def settle(self) -> np.ndarray:
         if self.new:
+            self.held += sum(map(len, self.new)) + WORD_BYTES * len(self.new)
             codes = np.frombuffer("".join(self.new).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
             self.hashes = np.concatenate([self.hashes, word_hashes(codes, np.fromiter(map(len, self.new), np.int64, len(self.new)))])
             self.new = []
         return self.hashes
 
 
-def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 32-bit shingles and the document each belongs to, from all documents' word hashes."""
+def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 32-bit shingles, the document each belongs to and how often it occurs there, from all documents' word hashes."""
     padded = np.where(lengths > 0, np.maximum(lengths, WORDS), 0)
     words = np.zeros(int(padded.sum()), np.uint64)
     words[ragged(np.cumsum(padded) - padded, lengths)] = flat
@@ -81,12 +91,12 @@ def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     for j in range(WORDS):
         mixed = mixed * np.uint64(0x100000001B3) + words[start + j]
     owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), many)
-    both = np.unique(owner << np.uint64(32) | mix64(mixed) >> np.uint64(32))
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
+    both, counts = np.unique(owner << np.uint64(32) | mix64(mixed) >> np.uint64(32), return_counts=True)
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64), counts
 
 
-def registers(elements: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """ProbMinHash registers [document, register] of all documents; those without elements keep zeros."""
+def registers(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray, docs: int) -> np.ndarray:
+    """ProbMinHash registers [document, register] of all documents' weighted elements; those without elements keep zeros."""
     held = np.full(docs * REGISTERS, np.inf)
     name = np.zeros(docs * REGISTERS, np.uint32)
     seed = mix64(elements.astype(np.uint64) + ODD)
@@ -95,7 +105,7 @@ def registers(elements: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     latest = np.full(docs, np.inf)
     while live.size:
         draw = mix64(seed[live] + np.uint64(step * int(ODD) & (1 << 64) - 1))
-        now[live] -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+        now[live] -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[live]
         slot = owner[live] * REGISTERS + (mix64(draw) % np.uint64(REGISTERS)).astype(np.int64)
         early = now[live] < held[slot]
         slot, from_ = slot[early], live[early]
@@ -109,6 +119,11 @@ def registers(elements: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     return name.reshape(docs, REGISTERS)
 
 
+def estimated(names_a: np.ndarray, names_b: np.ndarray) -> np.ndarray:
+    """The probability Jaccard of pairs of weighted sets, estimated by the share of equal registers."""
+    return (names_a == names_b).mean(axis=-1)
+
+
 def bands_of(names: np.ndarray) -> np.ndarray:
     out = np.zeros((len(names), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * ODD
     for j in range(ROWS):
@@ -117,7 +132,7 @@ def bands_of(names: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, shingles, bands) of every row; node is null where there are no words."""
+    """(doc_id, content, node, shingles, bands) of every row: content is a 64-bit hash of the exact text, node one of its words; node is null where there are none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +147,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat + mix64(place)))])
             ends = np.cumsum(lengths)
             node = mix64(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64) * ODD).view(np.int64)
-            elements, owner = shingles(flat, lengths)
-            bands = bands_of(registers(elements, owner, len(texts)))
+            elements, owner, counts = shingles(flat, lengths)
+            bands = bands_of(registers(elements, owner, 1 + SPREAD * (1 - 1 / counts), len(texts)))
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("content"),
                     pa.array(node, mask=lengths == 0),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(elements.view(np.int32))),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                 ],
-                ["doc_id", "node", "shingles", "bands"],
+                ["doc_id", "content", "node", "shingles", "bands"],
             )
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, node bigint, shingles array<int>, bands array<bigint>")
+    text = named(text_col).cast("string")
+    picked = docs.select(named(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
+    return picked.mapInArrow(run, f"doc_id {kind}, content bigint, node bigint, shingles array<int>, bands array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,7 +260,7 @@ def rest_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     bands = bands.join(parts.select("band", F.col("component").alias("main"), F.col("size").alias("held")), "band").where(F.col("main") == F.col("most.component"))
     cells = lambda size: F.ceil(size / CELL).cast("int")
     bands = bands.select("band", "main", cells(F.col("all") - F.col("held")).alias("stray_cells"), cells(F.col("all")).alias("member_cells"))
-    met = members.join(bands, "band")
+    met = members.join(table(bands, "open-bands"), "band")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     strays = met.where(F.col("component") != F.col("main")).select("band", "node", "component", F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), "stray_cells").cast("int").alias("i"), upto(F.col("member_cells")).alias("j"))
     others = met.select("band", "node", "component", F.lit(False).alias("stray"), upto(F.col("stray_cells")).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), "member_cells").cast("int").alias("j"))
@@ -255,32 +272,56 @@ def classes_of_nodes(rows: DataFrame) -> DataFrame:
     """(node, component) of the nodes that share a band with another one, from a table of ``signatures``."""
     each = rows.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi")).select("band", "n")
-    members = table(each.join(shared, "band").groupBy("band", "node").agg(F.max("n").alias("n")), "members")
+    members = table(each.join(table(shared, "shared"), "band").groupBy("band", "node").agg(F.max("n").alias("n")), "members")
     weights = table(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     sets = table(rows.select("node", "shingles").join(weights.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    central = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", F.col("c.node").alias("b"))
+    central = table(members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", F.col("c.node").alias("b")), "central")
     pairs = members.select("band", F.col("node").alias("a")).join(central, "band").where(F.col("a") != F.col("b")).select("a", "b").distinct()
     first = components(verified(pairs, sets))
     known = table(weights.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
     placed = table(members.select("band", "node").join(known, "node"), "placed")
     second = components(rest_links(placed, sets))
     onward = second.select(F.col("node").alias("component"), F.col("component").alias("onward"))
-    return known.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component"))
+    found = table(known.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component")), "classes")
+    for done in (shared, members, weights, sets, central, first, known, placed, second):
+        release(done)
+    return found
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """(doc_id, content, node, class_id, class_content, class_size) of every row of a table of ``signatures``: the least (id, content) of its
+    class, nulls last, and the rows in it. Counts go by node first, so that copies of one text are a number and not rows of one key."""
+    found = classes_of_nodes(rows)
+    least = lambda id_, content: F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), content.alias("content")))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(least(F.col("doc_id"), F.col("content")).alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = table(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least", "n"), "nodes")
+    sizes = table(nodes.groupBy("component").agg(F.min("least").alias("least"), F.sum("n").alias("class_size")), "sizes")
+    told = table(nodes.select("node", "component").join(sizes, "component").select("node", F.col("least.id").alias("class_id"), F.col("least.content").alias("class_content"), "class_size"), "told")
+    alone = F.col("node").isNull()
+    return rows.select("doc_id", "content", "node").join(told, "node", "left").select(
+        "doc_id", "content", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("content")).otherwise(F.col("class_content")).alias("class_content"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
+    )
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size) of every row: class_size counts rows, class_id is the least doc_id among them."""
-    rows = table(signatures(docs, id_col, text_col), "signatures")
-    found = table(classes_of_nodes(rows), "classes")
-    named = rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    named = table(named, "named")
-    sizes = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = F.col("component").isNull()
-    return named.join(sizes, "component", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"))
+    return classified(table(signatures(docs, id_col, text_col), "signatures")).select("doc_id", "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id. Rows that repeat that id stay together with it;
-    rows with a null id stay, as do those without words."""
-    gone = classes(docs, id_col, text_col).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(table(gone, "dropped"), id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each class: the one with the least id (null ids last), then the least hash of its text, then of its other
+    columns. Rows go by id and text together, so that a repeated id drops no other text. Rows without words all stay."""
+    known = table(classified(table(signatures(docs, id_col, text_col), "signatures")).where(F.col("class_size") > 1), "multiple")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("content") == F.col("class_content"))
+    repeated = table(known.where(first).groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("doc_id", "content"), "repeated")
+    gone = table(known.where(~first).select("doc_id", "content").distinct().unionByName(repeated), "dropped")
+    rows = packed(docs, id=named(id_col), content=F.xxhash64(named(text_col).cast("string")))
+
+    def same(other: DataFrame) -> tuple[DataFrame, Column]:
+        renamed = other.select(F.col("doc_id").alias("other_id"), F.col("content").alias("other_content"))
+        return renamed, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("content") == F.col("other_content"))
+
+    kept = rows.join(*same(gone), "left_anti").select("row")
+    one = rows.join(*same(repeated), "left_semi").groupBy("id", "content").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return kept.unionByName(one).select(*unpacked(docs))
