@@ -10,14 +10,16 @@ down and single tokens left over go to the first unfilled children by name.
 
 A leaf whose budget is q times its tokens and a rest takes q whole epochs, and from
 epoch q the prefix whose tokens reach the rest. Rows of an epoch are ordered by
-MD5(seed, epoch, document id). The prefix is found from token sums of hash ranges and
-an ordering of one range, so no leaf is ever sorted as a whole.
+MD5(seed, epoch, document id, MD5 of the text). The prefix is found from token sums of hash
+ranges and an ordering of one range, so no leaf is ever sorted as a whole. Rows that share the
+hash at a prefix's end are copies of one id and text: they are numbered, and the prefix takes as
+many as it needs.
 
 Tokens of a text are its UTF-8 bytes over four, rounded up. Null and empty texts have
-no tokens and are never taken. Nulls in level columns count as the name ''. Rows with
-equal ids tie in the hash and are taken or left together. Weights that aren't given
-are 1. An empty table, or a budget of 0, takes nothing. Extra columns are kept by
-``select_documents`` and not read otherwise.
+no tokens and are never taken. Nulls in level columns count as the name ''; null ids as an
+empty id, told apart by their texts. Weights that aren't given are 1. An empty table, or a budget of 0,
+takes nothing. A leaf never takes more tokens than its budget, but for the rest of the last whole document
+in ``select_documents``. Extra columns are kept by ``select_documents`` whatever their names are, and not read otherwise.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, packed, table, unpacked
 
 #: Weights by level and name (others: 1), tokens asked for as a share of all, most epochs, seed.
 WEIGHTS = {"domain": {"news": 5, "web": 3, "reference": 2}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 1}, "source": {}}
@@ -88,12 +90,16 @@ def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: dict[str, dict[
     return leaves.join(level.select(*levels, F.col("budget").cast("long").alias("budget")), list(levels)).where(F.col("tokens") > 0)
 
 
-def place_of(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def place_of(seed: int, epoch: Column, doc_id: Column, content: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")), content))
+
+
+def content_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def plan(rows: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[str, dict[str, int]] = WEIGHTS, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """From (doc_id, levels, tokens): one row for each leaf with levels, ``budget``, ``epochs`` (whole ones), ``rest`` (tokens of the
+    """From (doc_id, content, levels, tokens): one row for each leaf with levels, ``budget``, ``epochs`` (whole ones), ``rest`` (tokens of the
     last), ``bits`` and the prefix's end: rows up to hash ``edge`` (excluded if null) lie in it, and ``taken`` tokens come before ``edge``."""
     keys = list(levels)
     taken = rows.where(F.col("tokens") > 0)
@@ -103,7 +109,7 @@ def plan(rows: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[str, d
     given = given.withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int"))
     given = table(given, "budgets")  # a row for each leaf: Spark sees its size and broadcasts it if small
     ordered = taken.join(given.select(*keys, "epochs", "rest", "bits"), keys).where(F.col("rest") > 0)
-    ordered = ordered.withColumn("hash", place_of(seed, F.col("epochs"), F.col("doc_id")))
+    ordered = ordered.withColumn("hash", place_of(seed, F.col("epochs"), F.col("doc_id"), F.col("content")))
     ordered = ordered.withColumn("range", F.expr("shiftright(cast(conv(substr(hash, 1, 15), 16, 10) as bigint), 60 - bits)"))
     sums = ordered.groupBy(*keys, "range", "rest").agg(F.sum("tokens").alias("sum"))
     upto = F.sum("sum").over(Window.partitionBy(*keys).orderBy("range"))
@@ -115,34 +121,43 @@ def plan(rows: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict[str, d
     return table(ends, "prefixes")
 
 
+def in_last_epoch(rows: DataFrame, ends: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (doc_id, content, levels, tokens and more) of leaves with a budget, with ``epochs`` and ``last``: how many of their tokens
+    the prefix of the last, partial epoch takes (0: none)."""
+    each = rows.where(F.col("tokens") > 0).join(ends, list(LEVELS)).withColumn("hash", place_of(seed, F.col("epochs"), F.col("doc_id"), F.col("content")))
+    at_edge = F.coalesce(F.col("hash") == F.col("edge"), F.lit(False))
+    before = F.coalesce(F.col("hash") < F.col("edge"), F.lit(False))
+    plain = each.where(~at_edge).withColumn("last", F.when(before, F.col("tokens")).otherwise(F.lit(0)).cast("long"))
+    copies = numbered(each.where(at_edge), list(LEVELS), "copy", "edges")
+    left = F.col("rest") - F.col("taken") - F.col("copy") * F.col("tokens")
+    copies = copies.withColumn("last", F.greatest(F.lit(0), F.least(F.col("tokens"), left)).cast("long")).drop("copy")
+    return plain.unionByName(copies)
+
+
 def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, tokens, used): every document once for each epoch that takes it. ``used`` is less than
     ``tokens`` only where the budget ends inside a document: at the last place of a leaf's prefix."""
     rows = leaf_rows(docs)
-    ends = plan(rows, seed=seed)
-    each = rows.where(F.col("tokens") > 0).join(ends, list(LEVELS))
-    each = each.withColumn("hash", place_of(seed, F.col("epochs"), F.col("doc_id")))
-    each = each.withColumn("last", F.coalesce(F.col("hash") <= F.col("edge"), F.lit(False)))
-    spread = each.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: (e < F.col("epochs")) | F.col("last"))))
-    used = F.when((F.col("epoch") == F.col("epochs")) & (F.col("hash") == F.col("edge")), F.least(F.col("tokens"), F.col("rest") - F.col("taken"))).otherwise(F.col("tokens"))
+    each = in_last_epoch(rows, plan(rows, seed=seed), seed)
+    spread = each.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: (e < F.col("epochs")) | (F.col("last") > 0))))
+    used = F.when(F.col("epoch") == F.col("epochs"), F.col("last")).otherwise(F.col("tokens"))
     return spread.select("doc_id", *LEVELS, "epoch", "tokens", used.alias("used"))
 
 
-def leaf_rows(docs: DataFrame) -> DataFrame:
+def leaf_columns() -> dict[str, Column]:
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select("doc_id", domain_of(F.col("source").cast("string")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), tokens_of(F.col("text")).alias("tokens"))
+    return {"doc_id": F.col("doc_id"), "content": content_of(F.col("text")), "domain": domain_of(F.col("source").cast("string")), "lang": name("lang"), "source": name("source"), "tokens": tokens_of(F.col("text"))}
+
+
+def leaf_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*[c.alias(name) for name, c in leaf_columns().items()])
 
 
 def select_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The whole documents that the mixture takes, once for each epoch that takes them, with the columns of ``docs``."""
-    ends = plan(leaf_rows(docs), seed=seed)
-    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in ends.columns])
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    here = docs.withColumns({"_domain": domain_of(F.col("source").cast("string")), "_lang": name("lang"), "_source": name("source")}).where(tokens_of(F.col("text")) > 0)
-    each = here.join(ends, ["_domain", "_lang", "_source"])
-    last = F.coalesce(place_of(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_edge"), F.lit(False))
-    times = F.col("_epochs") + last.cast("long")
-    return each.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    each = in_last_epoch(packed(docs, **leaf_columns()), plan(leaf_rows(docs), seed=seed), seed)
+    times = F.col("epochs") + (F.col("last") > 0).cast("long")
+    return each.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*unpacked(docs))
 
 
 #: DuckDB SQL for ``mixture`` over ``documents``.
@@ -169,15 +184,14 @@ l{depth} AS (SELECT {', '.join(keys)}, share + CASE WHEN stopped AND row_number(
     k = ", ".join(LEVELS)
     return f"""
 WITH rows_ AS (
-  SELECT * FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, (strlen(coalesce(text, '')) + 3) // 4 AS tokens,
+  SELECT * FROM (SELECT doc_id, md5(coalesce(text, '')) AS content, coalesce(source, '') AS source, coalesce(lang, '') AS lang, (strlen(coalesce(text, '')) + 3) // 4 AS tokens,
     CASE WHEN regexp_matches(coalesce(source, ''), '[0-4]$') THEN 'web' WHEN regexp_matches(coalesce(source, ''), '[5-7]$') THEN 'news' ELSE 'reference' END AS domain
   FROM documents) WHERE tokens > 0),
 leaves AS (SELECT {k}, sum(tokens) AS tokens FROM rows_ GROUP BY {k}),
 {', '.join(steps)},
 ends AS (SELECT {k}, l.budget // tokens AS epochs, l.budget % tokens AS rest FROM leaves JOIN l{len(LEVELS)} l USING ({k})),
-placed AS (SELECT r.*, epochs, rest, md5('{SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS hash FROM rows_ r JOIN ends USING ({k})),
-summed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {k} ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
-    - sum(tokens) OVER (PARTITION BY {k}, hash) AS before FROM placed),
+placed AS (SELECT r.*, epochs, rest, md5('{SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '') || ':' || content) AS hash FROM rows_ r JOIN ends USING ({k})),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY {k} ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens AS before FROM placed),
 spread AS (SELECT *, unnest(generate_series(0, epochs::BIGINT)) AS epoch FROM summed)
 SELECT doc_id, {k}, epoch::BIGINT AS epoch, tokens::BIGINT AS tokens,
   (CASE WHEN epoch = epochs THEN least(tokens, rest - before) ELSE tokens END)::BIGINT AS used
