@@ -11,17 +11,18 @@ A row larger than the limit gets a shard of its own (nothing can split it). Rows
 in id and text share all bits; if such a group is too large, its copies are numbered and
 packed into shards ``<prefix>.<k>`` of whole copies. Null ids and texts count as empty
 strings; a null or empty text has no bytes. An empty table gives no shards; a table
-that fits as a whole gives the one shard ''. Extra columns stay in ``assign``.
+that fits as a whole gives the one shard ''. Extra columns stay in ``assign``, whatever their
+names are; columns named as its results are replaced.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, numbered, packed, table, unpacked
 
 #: Bytes of text in a shard at most; bits of a hash; cells for each expected shard; most bits of the first pass.
 LIMIT, BITS, CELLS, MOST = 4 << 20, 60, 64, 30
@@ -67,24 +68,30 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return table(fit, "directory")
 
 
+def keyed(found: DataFrame, limit: int, low: int) -> DataFrame:
+    """The directory with ``coarse``, a prefix of exactly ``low`` bits: deeper buckets have it as their own first bits, shallower ones once for each of its values."""
+    deep = F.array(F.expr(f"shiftright(prefix, greatest(0, depth - {low}))"))
+    first = F.expr(f"shiftleft(prefix, greatest(0, {low} - depth))")
+    wide = F.sequence(first, first + F.expr(f"shiftleft(1L, greatest(0, {low} - depth))") - 1)
+    return found.select("depth", "prefix", F.explode(F.when(F.col("depth") >= low, deep).otherwise(wide)).alias("coarse"), ((F.col("bytes") > limit) & (F.col("n") > 1)).alias("copies"))
+
+
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``shard`` (prefix bits), ``depth``, ``n_bytes``. ``docs`` is read twice."""
+    """All columns of ``docs`` and ``shard`` (prefix bits), ``depth``, ``n_bytes``. ``docs`` is read several times."""
     new = ["shard", "depth", "n_bytes"]
-    keyed = docs.drop(*new).withColumns({"_h": hash_of(F.col(id_col), F.col(text_col)), "_bytes": F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")})
-    found = directory(keyed.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), limit)
-    low = found.agg(F.coalesce(F.min("depth"), F.lit(0))).first()[0]
-    shards = found.select(
-        F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), F.expr(f"shiftright(prefix, depth - {low})").alias("_coarse"), ((F.col("bytes") > limit) & (F.col("n") > 1)).alias("_copies")
-    )
-    met = keyed.withColumn("_coarse", F.shiftright("_h", BITS - low)).join(shards, "_coarse").where(F.expr(f"shiftright(_h, {BITS} - _depth)") == F.col("_prefix"))
-    name = F.when(F.col("_depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(_prefix), _depth, '0')"))
-    met = met.withColumns({"shard": name, "depth": F.col("_depth"), "n_bytes": F.col("_bytes")})
-    plain = met.where(~F.col("_copies"))
+    kept = docs.select(*[named(c) for c in docs.columns if c not in new])
+    h, size = hash_of(named(id_col), named(text_col)), F.coalesce(F.octet_length(named(text_col).cast("string")), F.lit(0)).cast("long")
+    found = directory(docs.select(h.alias("h"), size.alias("bytes")), limit)
+    # rows meet buckets by a prefix of about as many bits as there are buckets: shallower ones multiply to no more than that, deeper ones share one
+    low = max(0, found.count().bit_length() - 1)
+    met = packed(kept, h=h, n_bytes=size).withColumn("coarse", F.shiftright("h", BITS - low)).join(table(keyed(found, limit, low), "keyed"), "coarse").where(F.expr(f"shiftright(h, {BITS} - depth)") == F.col("prefix"))
+    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
+    met = met.withColumn("shard", name)
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    copies = met.where(F.col("_copies")).withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy(F.col("n_bytes"))) - 1)
-    copies = copies.withColumn("shard", F.concat_ws(".", "shard", F.floor(F.col("_k") / per).cast("string")))
-    kept = [c for c in docs.columns if c not in new]
-    return plain.select(*kept, *new).unionByName(copies.select(*kept, *new))
+    copies = numbered(met.where("copies"), ["h"], "copy", "copies")
+    copies = copies.withColumn("shard", F.concat_ws(".", "shard", F.floor(F.col("copy") / per).cast("string")))
+    result = [*unpacked(kept), *new]
+    return met.where("not copies").select(*result).unionByName(copies.select(*result))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
