@@ -1,18 +1,24 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node, so copies cost nothing. The graph starts from blocks of
-vectors that lie next to each other when sorted by the signs of random projections
-(several orders; exact neighbours within each block). NN-descent then improves it: in
+Equal vectors are one node, so copies cost nothing. The graph starts coarse: ``ORDERS`` sorted orders by
+the signs of random projections, cut into blocks of ``BLOCK`` vectors, give each node the nearest
+of its blocks, which are few of its true neighbours. NN-descent makes the graph good: in
 each round every node's neighbours, forward and nearest reverse ones, meet; all pairs
 among them with a new member are compared, and each node keeps its ``K`` nearest. A
 round is a few Spark joins and one shuffle by node; a task sees one node's neighbours,
-at most ``FORWARD + BACK``, at a time. Rounds go on until less than a share of ``CHANGED``
-of the edges is new; a node's sorted distances only ever fall, so they end.
+at most ``FORWARD + BACK``, at a time, and nodes that no new neighbour reached send nothing.
+Rounds go on until less than a share of ``CHANGED`` of the edges is new; a node's sorted
+distances only ever fall, so they end.
+
+Vectors travel between nodes as half-precision numbers, scaled by the table's largest
+component; a graph edge's length is that of the rounded vectors. Searches and results use the
+original vectors in double precision.
 
 A query starts from the nearest of ``ENTRIES`` entry points (chosen by hash) and from its own
 node if it is in the graph, and repeatedly expands the nodes of its beam that weren't
 expanded yet, until the beam of the ``BEAM`` nearest holds none. A node that left a beam is
-farther than all in it and can't return, so this ends too. All queries advance in one join a round. Distances are Euclidean, in double precision, on the original vectors.
+farther than all in it and can't return, so this ends too. All queries advance in one join a
+round. The README gives the recall measured against brute force.
 
 Vectors that are null or zero, hold null or non-finite components, or have a length other
 than the most frequent one take no part. Ties go to the smaller id. A repeated id with
@@ -30,12 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import release, table
 
-#: Neighbours kept; forward and reverse ones that meet in NN-descent; reverse ones that a search may follow; pairs kept for each member.
-K, FORWARD, BACK, REVERSE, GIVEN = 24, 16, 12, 24, 8
-ORDERS, BLOCK, SIGNS, SEED = 8, 1536, 24, 11
+#: Neighbours kept; forward and reverse ones that meet in NN-descent; reverse ones that a search may follow.
+K, FORWARD, BACK, REVERSE = 32, 24, 20, 32
+ORDERS, BLOCK, SIGNS, SEED = 3, 128, 24, 11
 #: NN-descent ends when a round changes less than this share of the edges.
-CHANGED = 0.001
-ENTRIES, STARTS, BEAM = 256, 12, 160
+CHANGED = 0.02
+ENTRIES, STARTS, BEAM = 256, 8, 256
 PART_ROWS = 8192
 
 
@@ -64,22 +70,38 @@ def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def nearest_in_blocks(nodes: DataFrame, order: int, dims: int, parts: int) -> DataFrame:
-    """(u, w, d): the ``K`` nearest of each node within its block of one sorted order."""
-    planes = np.random.default_rng(SEED + order).standard_normal((SIGNS, dims))
+def halved(nodes: DataFrame) -> DataFrame:
+    """(node, code, h): each vector's signs as a number for every order, and its half-precision bytes."""
+    first = nodes.agg(F.max(F.size("v")).alias("dims"), F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))).alias("most")).first()
+    dims, most = first["dims"] or 1, first["most"] or 1.0
+    planes = np.random.default_rng(SEED).standard_normal((ORDERS, SIGNS, dims))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = (matrix(batch.column("v")) @ planes.T > 0) @ (1 << np.arange(SIGNS)[::-1])
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(code.astype(np.int64))], ["node", "v", "code"])
+                x = matrix(batch.column("v")) / most
+                codes = [(x @ plane.T > 0) @ (1 << np.arange(SIGNS)[::-1]) for plane in planes]
+                h = [row.tobytes() for row in x.astype(np.float16)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(np.stack(codes, 1))), pa.array(h, pa.binary())], ["node", "code", "h"])
+
+    return nodes.mapInArrow(run, "node bigint, code array<bigint>, h binary")
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    """The vectors of a column of half-precision bytes."""
+    width = len(column[0].as_py()) // 2
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+
+
+def nearest_in_blocks(halves: DataFrame, order: int, parts: int) -> DataFrame:
+    """(u, w, d): the ``K`` nearest of each node within its block of one sorted order."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count = -(-batch.num_rows // BLOCK)
             for lo, hi in ((batch.num_rows * i // count, batch.num_rows * (i + 1) // count) for i in range(count)):
-                ids, x = batch.column("node").to_numpy()[lo:hi], matrix(batch.column("v").slice(lo, hi - lo))
-                d = gaps(x, x)
+                ids, x = batch.column("node").to_numpy()[lo:hi], points_of(batch.column("h").slice(lo, hi - lo))
+                d = gaps(x, x).astype(np.float64)
                 np.fill_diagonal(d, np.inf)
                 k = min(K, len(ids) - 1)
                 if k < 1:
@@ -87,8 +109,8 @@ def nearest_in_blocks(nodes: DataFrame, order: int, dims: int, parts: int) -> Da
                 at = np.argpartition(d, k - 1, axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(d, at, 1).ravel())], ["u", "w", "d"])
 
-    signed = nodes.mapInArrow(sign, "node bigint, v array<double>, code bigint")
-    return signed.repartitionByRange(parts, "code", "node").sortWithinPartitions("code", "node").mapInArrow(near, "u bigint, w bigint, d double")
+    keyed = halves.select("node", F.col("code")[order].alias("code"), "h")
+    return keyed.repartitionByRange(parts, "code", "node").sortWithinPartitions("code", "node").mapInArrow(near, "u bigint, w bigint, d double")
 
 
 def kept(edges: DataFrame) -> DataFrame:
@@ -111,7 +133,7 @@ def met(graph: DataFrame, forward: int, reverse: int) -> DataFrame:
 
 def compared(groups: DataFrame) -> DataFrame:
     """Pairs (u, w, d) among the members (v, u, fresh, far, x) of each v, sorted by v: those with a fresh member that
-    are nearer than u's farthest neighbour, the ``GIVEN`` nearest for each u."""
+    are nearer than u's farthest neighbour."""
 
     def of(v: np.ndarray, u: np.ndarray, fresh: np.ndarray, far: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -120,24 +142,20 @@ def compared(groups: DataFrame) -> DataFrame:
         row = np.repeat(np.arange(len(heads)), sizes)
         place = np.arange(len(v)) - np.repeat(heads, sizes)
         ids, new, most = np.full((len(heads), width), -1, np.int64), np.zeros((len(heads), width), bool), np.full((len(heads), width), -1.0)
-        points = np.zeros((len(heads), width, x.shape[1]))
+        points = np.zeros((len(heads), width, x.shape[1]), np.float32)
         real = np.zeros((len(heads), width), bool)
         ids[row, place], new[row, place], most[row, place], points[row, place], real[row, place] = u, fresh, far, x, True
-        d = gaps(points, points)
+        d = gaps(points, points).astype(np.float64)
         fit = real[:, :, None] & real[:, None, :] & (new[:, :, None] | new[:, None, :]) & (ids[:, :, None] != ids[:, None, :]) & (d < most[:, :, None])
-        d[~fit] = np.inf
-        k = min(GIVEN, width)
-        at = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-        near = np.take_along_axis(d, at, 2)
-        g, i, j = np.nonzero(np.isfinite(near))
-        return pa.RecordBatch.from_arrays([pa.array(ids[g, i]), pa.array(ids[g, at[g, i, j]]), pa.array(near[g, i, j])], ["u", "w", "d"])
+        g, i, j = np.nonzero(fit)
+        return pa.RecordBatch.from_arrays([pa.array(ids[g, i]), pa.array(ids[g, j]), pa.array(d[g, i, j])], ["u", "w", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "u", "fresh", "far")) + (matrix(batch.column("x")),)
+            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "u", "fresh", "far")) + (points_of(batch.column("x")),)
             if left is not None:
                 now = tuple(np.concatenate(pair) for pair in zip(left, now, strict=True))
             cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
@@ -153,29 +171,30 @@ def compared(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "u bigint, w bigint, d double")
 
 
-def graph_of(nodes: DataFrame, changed: float = CHANGED) -> DataFrame:
-    """(u, w, d, fresh) of the neighbour graph of (node, v), as a table in the shared folder."""
-    first = nodes.select(F.size("v").alias("n")).first()
-    if first is None:
-        return nodes.sparkSession.createDataFrame([], "u bigint, w bigint, d double, fresh boolean")
-    parts = max(1, -(-nodes.count() // PART_ROWS))
-    start = [nearest_in_blocks(nodes, order, first["n"], parts) for order in range(ORDERS)]
-    edges = start[0]
-    for more in start[1:]:
-        edges = edges.unionByName(more)
-    graph = table(kept(edges.withColumn("fresh", F.lit(True))), "graph")
-    while True:
+def graph_of(nodes: DataFrame, changed: float = CHANGED, rounds: int | None = None) -> DataFrame:
+    """(u, w, d, fresh) of the neighbour graph of (node, v), as a table in the shared folder. ``rounds`` ends it early, to show what the start is worth."""
+    halves = table(halved(nodes), "halves")
+    parts = max(1, -(-halves.count() // PART_ROWS))
+    edges = nearest_in_blocks(halves, 0, parts)
+    for order in range(1, ORDERS):
+        edges = edges.unionByName(nearest_in_blocks(halves, order, parts))
+    graph, done = table(kept(edges.withColumn("fresh", F.lit(True))), "graph"), 0
+    while rounds is None or done < rounds:
         far = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) < K, F.lit(float("inf"))).otherwise(F.max("d")).alias("far"))
-        points = nodes.join(far, F.col("node") == F.col("u")).select("u", "far", F.col("v").cast("array<float>").alias("x"))
-        groups = met(graph, FORWARD, BACK).groupBy("v", "u").agg(F.max("fresh").alias("fresh")).join(points, "u").select("v", "u", "fresh", "far", F.col("x").cast("array<double>").alias("x"))
+        points = halves.join(far, F.col("node") == F.col("u")).select("u", "far", F.col("h").alias("x"))
+        meeting = met(graph, FORWARD, BACK).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
+        news = F.max("fresh").over(Window.partitionBy("v"))  # at most FORWARD + BACK rows
+        groups = meeting.withColumn("news", news).where("news").select("v", "u", "fresh").join(points, "u").select("v", "u", "fresh", "far", "x")
         found = compared(groups.repartition("v").sortWithinPartitions("v"))
         merged = graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
         better = table(kept(merged), "graph")
         release(graph)
-        graph = better
+        graph, done = better, done + 1
         count = graph.agg(F.count(F.lit(1)).alias("all"), F.count_if("fresh").alias("fresh")).first()
         if count["fresh"] <= count["all"] * changed:
-            return graph
+            break
+    release(halves)
+    return graph
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
@@ -213,6 +232,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
         nearer = table(merged.withColumn("place", best).where(F.col("place") <= BEAM).drop("place"), "beam")
         release(beam)
         beam = nearer
+    release(reach)
     return beam.select("q", "node", "d")
 
 
