@@ -1,14 +1,15 @@
 """Quality: supervised subword embeddings, averaged per document, with a softmax output.
 
 Every word of a text adds its own hashed vector and those of its character 2- to
-4-grams (ends marked, case kept); a word that repeats the one before it adds one more,
-shared vector, the bigram of a word with itself. The average of all is the document's
+4-grams (ends marked, case kept), and every two adjacent words the hashed vector of their
+bigram, whose hash is the xor of the two words' hashes (so order doesn't matter, and a word
+next to itself falls on one bucket whatever the word). The average of all is the document's
 vector, and a softmax over two classes scores it. Vectors and output weights are
 learned together by stochastic gradient descent in numpy, one document a step.
 
-The fit takes a bounded sample of labelled rows: up to ``CAP`` documents of each class
-of up to ``LONGEST`` characters. Its features (not texts) come to the driver. Scores
-cover every row and whole texts. Because the output is linear in the vectors, tasks
+The fit takes a bounded sample of labelled rows: up to ``CAP`` documents of each class,
+of every length. Their hashed counts (not texts) come to the driver: at most 2**``BITS`` for each
+document. Scores cover every row and whole texts. Because the output is linear in the vectors, tasks
 get one number for each hash bucket and keep sums for words seen before.
 
 Null and empty texts have no features and get the bias's score. With one class or none
@@ -25,64 +26,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .subwords import WordMemo, ngrams, training_sample
+from .common import mix64, slices
+from .subwords import WordMemo, ngrams, training_sample, word_hashes
 
 ORDERS, BITS, WIDTH = (2, 3, 4), 17, 8
-#: Bounds of the training sample.
-CAP, LONGEST = 2000, 12_000
+#: Most documents of a class in the training sample.
+CAP = 2000
 EPOCHS, RATE, SEED = 6, 1.0, 5
-SLICE_BYTES = 4 << 20
-REPEAT = 1 << BITS
+SLICE_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").split()
 
 
-def repeats(words: list[str]) -> int:
-    return sum(map(str.__eq__, words, words[1:]))
+def hashes_of(words: list[str]) -> np.ndarray:
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    return word_hashes(codes, np.fromiter(map(len, words), np.int64, len(words))) if words else np.zeros(0, np.uint64)
+
+
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the bigrams of words with these hashes."""
+    return (mix64(hashes[1:] ^ hashes[:-1]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
     words = words_of(text)
-    buckets = ngrams(words, ORDERS, BITS, whole=True)[0]
-    found, times = np.unique(np.concatenate([buckets, np.full(repeats(words), REPEAT, np.int64)]), return_counts=True)
+    found, times = np.unique(np.concatenate([ngrams(words, ORDERS, BITS, whole=True)[0], bigrams(hashes_of(words))]), return_counts=True)
     return found.astype(np.int32), times.astype(np.int32)
 
 
 def features(sample: DataFrame) -> DataFrame:
-    """(y, buckets, counts) of the sample, computed in tasks."""
+    """(key, y, buckets, counts) of the sample's documents, computed in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             found = [counted(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], ["y", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], ["key", "y", "buckets", "counts"])
 
-    return sample.mapInArrow(run, "y int, buckets array<int>, counts array<int>")
+    return sample.select(F.col("doc_id").cast("string").alias("key"), "text", "y").mapInArrow(run, "key string, y int, buckets array<int>, counts array<int>")
 
 
 def fit(sample: DataFrame) -> dict:
     """One number for each bucket (its vector times the difference of the output weights) and the bias."""
-    got = features(sample).toArrow()
+    got = features(sample).toArrow().sort_by("key")  # parts come in any order: by id, equal inputs give equal models
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return {"weights": np.zeros(REPEAT + 1, np.float32), "bias": float(np.log((share + 1e-9) / (1 - share + 1e-9)))}
+        return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log((share + 1e-9) / (1 - share + 1e-9)))}
     lists, counts = got.column("buckets").combine_chunks(), got.column("counts").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
     bucket, times = lists.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float32)
-    # collected parts come in any order: order documents by content, so that equal inputs give equal models
-    keys = [(int(t), bucket[a:b].tobytes(), times[a:b].tobytes()) for t, a, b in zip(y, ends[:-1], ends[1:], strict=True)]
-    order = np.array(sorted(range(len(y)), key=keys.__getitem__))
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (REPEAT + 1, WIDTH)).astype(np.float32)
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     output, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
     share = np.array([0.5 / max((y == 0).mean(), 1e-9), 0.5 / max((y == 1).mean(), 1e-9)])
     total, step = EPOCHS * len(y), 0
     for _ in range(EPOCHS):
-        for d in order[rng.permutation(len(order))]:
+        for d in rng.permutation(len(y)):
             rate = RATE * (1 - step / total) * share[y[d]]
             step += 1
             at, many = bucket[ends[d] : ends[d + 1]], times[ends[d] : ends[d + 1]]
@@ -113,19 +115,20 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
         def of(words: list[str]) -> np.ndarray:
             bucket, owner = ngrams(words, ORDERS, BITS, whole=True)
-            return np.stack([np.bincount(owner, weights[bucket], len(words)), np.bincount(owner, minlength=len(words))], axis=1)
+            return np.stack([np.bincount(owner, weights[bucket], len(words)), np.bincount(owner, minlength=len(words)), hashes_of(words).view(np.float64)], axis=1)
 
-        memo = WordMemo(of, 2)
+        memo = WordMemo(of, 3)
         for part in slices(batches, "text", SLICE_BYTES):
             memo.begin()
             words = [words_of(t) for t in part.column("text").to_pylist()]
             used = [np.fromiter(map(memo.__getitem__, w), np.int64, len(w)) for w in words]
             rows = memo.settle()
+            hashes = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
             out = np.zeros(len(used))
             for k, ids in enumerate(used):
-                again = int((ids[1:] == ids[:-1]).sum())
-                total = rows[ids].sum(axis=0) + (again * weights[REPEAT], again)
-                out[k] = total[0] / total[1] if total[1] else 0.0
+                pairs = bigrams(hashes[ids])
+                many = rows[ids, 1].sum() + len(pairs)
+                out[k] = (rows[ids, 0].sum() + weights[pairs].sum()) / many if many else 0.0
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(out + bias, -500, 500))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -137,5 +140,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows that are not held out and score all documents: (doc_id, held_out, score, predicted)."""
-    model = fit(training_sample(docs, labels, "quality", ~held_out(), CAP, LONGEST))
+    model = fit(training_sample(docs, labels, "quality", ~held_out(), CAP))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, table
 
 PRIME = np.uint64(0x100000001B3)
 
@@ -46,12 +46,19 @@ def word_hashes(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordMemo(dict):
-    """Numbers words by first use; ``of`` computes a row of figures for new ones. It starts anew beyond ``most`` words."""
+    """Numbers words by first use; ``of`` computes a row of figures for new ones. It starts anew once its words take ``most`` bytes."""
 
-    def __init__(self, of: Callable[[list[str]], np.ndarray], width: int, most: int = 400_000) -> None:
+    #: Bytes that a word takes besides its characters.
+    ENTRY = 170
+
+    def __init__(self, of: Callable[[list[str]], np.ndarray], width: int, most: int = 24 << 20) -> None:
         super().__init__()
         self.of, self.width, self.most = of, width, most
-        self.rows = np.zeros((0, width))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.rows, self.held = np.zeros((0, self.width)), 0
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -60,28 +67,28 @@ class WordMemo(dict):
         return at
 
     def begin(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-            self.rows = np.zeros((0, self.width))
+        if self.held > self.most:
+            self.forget()
 
     def settle(self) -> np.ndarray:
         """Rows of all words; call it after the words of a slice are looked up."""
         if self.new:
+            self.held += sum(map(len, self.new)) + self.ENTRY * len(self.new)
             self.rows = np.concatenate([self.rows, self.of(self.new)])
             self.new = []
         return self.rows
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, cap: int, longest: int) -> DataFrame:
-    """(text, y): at most about ``cap`` rows of each class, chosen by a hash of doc_id among labelled rows that ``kept`` admits
-    and whose text has up to ``longest`` characters. Null labels, ids and texts take no part; a doc_id labelled twice counts once, as its larger label."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, kept: Column, cap: int) -> DataFrame:
+    """(doc_id, text, y), as a table: at most ``cap`` documents of each class, those with the least hash of doc_id among the labelled ids that
+    ``kept`` admits. Null labels, ids and texts take no part; a doc_id labelled twice counts once, as its larger label; of several
+    documents with one id the one with the least hash of its text counts. Texts of every length take part."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & kept).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for y, n in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(int(min(1.0, cap / n) * (1 << 30)))).otherwise(share)
-    # about 2 * cap ids at most, so they are broadcast and no text is shuffled
-    chosen = marks.where((place < share) & F.col("y").isin(0, 1))
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
-    return found.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    place = F.xxhash64(F.lit(label), "doc_id")
+    # a share of about 1.5 * cap ids goes into the ordering, so that what tasks send to the limit doesn't grow with the labels
+    near = F.pmod(place, F.lit(1 << 30)) < F.lit(1 << 30) * F.coalesce(F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, min(1.0, (1.5 * cap + 100) / n))])[F.col("y")], F.lit(0.0)) if sizes else F.lit(False)
+    chosen = [marks.where((F.col("y") == y) & near).orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(cap) for y in (0, 1)]
+    chosen = table(chosen[0].unionByName(chosen[1]), "chosen")  # at most 2 * cap ids: small enough to broadcast, so no text is shuffled
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return table(found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y")), "sample")

@@ -3,14 +3,18 @@
 A document's features are the hashed 3- to 5-grams of its distinct lower-cased words
 (ends marked), counted once for each word. Each feature is scaled by the log ratio of
 the smoothed shares of toxic and of other training documents that have it, drawn
-towards 0 by ``SURE`` standard errors; logistic regression on the scaled features is
-fitted with numpy by full-batch Adam with an L2 penalty.
+towards 0 by some standard errors, which leaves the features that are sure to tell the classes
+apart. Logistic regression on the scaled features is fitted with numpy by full-batch Adam with an L2 penalty.
+How many standard errors is chosen from ``SURE`` by cross-validation in ``FOLDS`` parts of the
+training rows alone: the least balanced error, then the least balanced log loss.
 
 The fit takes a bounded sample of labelled rows: up to ``CAP`` documents of each
-class of up to ``LONGEST`` characters. Its features (not texts) come to the driver.
+class, of every length. Tasks count documents by fold, bucket and class; the driver gets these sums (at most
+``FOLDS`` * 2**``BITS`` rows) and then the sample's counts of the sure features only, never texts.
 Scores cover every row and whole texts; null and empty texts get the intercept's
 score. With one class or none in training every score is the class share (0.0 without
-labels). Repeated rows are scored alike; extra columns are not read by ``score``.
+labels). Repeated rows are scored alike; equal inputs give equal models however they are
+partitioned; extra columns are not read by ``score``.
 """
 
 from __future__ import annotations
@@ -26,56 +30,74 @@ from .common import slices
 from .subwords import WordMemo, ngrams, training_sample
 
 ORDERS, BITS = (3, 4, 5), 20
-#: Bounds of the training sample.
-CAP, LONGEST = 2000, 10_000
-EPOCHS, RATE, PENALTY, SMOOTH, SURE = 60, 0.05, 2e-4, 4.0, 3.0
-SLICE_BYTES = 4 << 20
+#: Most documents of a class in the training sample.
+CAP = 2000
+EPOCHS, RATE, PENALTY, SMOOTH = 60, 0.05, 2e-4, 4.0
+#: Strengths to choose from, and parts of the cross-validation.
+SURE, FOLDS = (2.0, 3.0, 4.0), 3
+SLICE_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-def features(sample: DataFrame) -> DataFrame:
-    """(y, buckets, counts) of the sample, computed in tasks."""
+def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text, in order, and how many of its distinct words have each n-gram."""
+    return np.unique(ngrams(sorted(words_of(text)), ORDERS, BITS)[0], return_counts=True)
+
+
+def class_counts(sample: DataFrame) -> np.ndarray:
+    """Documents [fold, class, bucket] that have a bucket, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            found = [np.unique(ngrams(sorted(words_of(t)), ORDERS, BITS)[0], return_counts=True) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["y", "buckets", "counts"])
+            got = [grams_of(t)[0] for t in part.column("text").to_pylist()]
+            group = part.column("fold").to_numpy() * 2 + part.column("y").to_numpy()
+            both, n = np.unique(np.repeat(group.astype(np.int64), list(map(len, got))) << BITS | np.concatenate([*got, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], ["key", "n"])
 
-    return sample.mapInArrow(run, "y int, buckets array<int>, counts array<int>")
+    found = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    out = np.zeros(FOLDS * 2 << BITS, np.int32)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(FOLDS, 2, 1 << BITS)
 
 
-def fit(sample: DataFrame) -> dict:
-    """Weight of each bucket (log-count ratio times coefficient) and the intercept."""
-    got = features(sample).toArrow()
-    y = got.column("y").to_numpy().astype(np.float64)
-    weights = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return {"weights": weights, "bias": float(np.log((share + 1e-6) / (1 - share + 1e-6)))}
-    lists = got.column("buckets").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    bucket = lists.values.to_numpy()[lists.offsets[0].as_py() :]
-    count = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    del got, lists
-    # documents with the feature, in each class; pseudo-counts in the classes' proportion
-    share = y.mean()
-    toxic = np.bincount(bucket, y[row], 1 << BITS)
-    other = np.bincount(bucket, minlength=1 << BITS) - toxic
-    toxic, other = toxic + SMOOTH * share, other + SMOOTH * (1 - share)
+def ratios(counts: np.ndarray, docs: np.ndarray, sure: float) -> np.ndarray:
+    """Log-count ratio of each bucket from documents [class, bucket] and [class], drawn towards 0 by ``sure`` standard errors."""
+    share = docs[1] / docs.sum()
+    toxic, other = counts[1] + SMOOTH * share, counts[0] + SMOOTH * (1 - share)  # pseudo-counts in the classes' proportion
     ratio = np.log(toxic / share) - np.log(other / (1 - share))
     # only what is sure of a ratio counts: the many features that tell nothing would outweigh a few clear ones in long texts
-    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SURE * np.sqrt(1 / toxic + 1 / other))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * np.sqrt(1 / toxic + 1 / other))
+
+
+def told_features(sample: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, fold, row, bucket, count) of the sample's documents in order of id, for the ``wanted`` buckets (a mask)."""
+    sent = sample.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(sent.value).astype(bool)
+        for part in slices(batches, "text", SLICE_BYTES):
+            found = [(a[mask[a]], c[mask[a]]) for a, c in map(grams_of, part.column("text").to_pylist())]
+            lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), part.column("fold"), *lists], ["key", "y", "fold", "buckets", "counts"])
+
+    got = sample.mapInArrow(run, "key string, y int, fold int, buckets array<int>, counts array<int>").toArrow().sort_by("key")
+    lists = got.column("buckets").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = [got.column(c).combine_chunks().flatten().to_numpy() for c in ("buckets", "counts")]
+    return got.column("y").to_numpy().astype(np.float64), got.column("fold").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1].astype(np.float64)
+
+
+def regression(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each bucket (its ratio times its coefficient) and the intercept, both classes weighing the same."""
     present = np.flatnonzero(ratio)
-    number = np.full(1 << BITS, -1, np.int32)
+    number = np.full(len(ratio), -1)
     number[present] = np.arange(len(present))
-    bucket, ratio, width = number[bucket], ratio[present], len(present)
-    told = bucket >= 0
-    bucket, row = bucket[told], row[told]
-    value = count[told] * ratio[bucket].astype(np.float32)
+    told = number[bucket] >= 0
+    bucket, row = number[bucket[told]], row[told]
+    value, width = count[told] * ratio[present][bucket], len(present)
     w, b = np.zeros(width), 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
@@ -89,8 +111,50 @@ def fit(sample: DataFrame) -> dict:
         rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w = w - rate * m / (np.sqrt(v) + 1e-8)
         b = b - rate * mb / (np.sqrt(vb) + 1e-8)
-    weights[present] = w * ratio
-    return {"weights": weights, "bias": float(b)}
+    out = np.zeros(len(ratio))
+    out[present] = w * ratio[present]
+    return out, float(b)
+
+
+def validated(counts: np.ndarray, docs: np.ndarray, y: np.ndarray, fold: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> float:
+    """The strength of ``SURE`` with the least balanced error on the folds left out."""
+    results = []
+    for sure in SURE:
+        error = loss = 0.0
+        for k in range(FOLDS):
+            out, some = fold == k, fold[row] != k
+            rest = docs.sum(axis=0) - docs[k]
+            if not rest.all() or not out.any():
+                continue
+            place = np.cumsum(~out) - 1
+            w, b = regression(y[~out], place[row[some]], bucket[some], count[some], ratios(counts.sum(axis=0) - counts[k], rest, sure))
+            z = (np.bincount(row, count * w[bucket], len(y)) + b)[out]
+            weight = np.where(y[out] == 1, 0.5 / max(docs[:, 1].sum(), 1), 0.5 / max(docs[:, 0].sum(), 1))
+            error += ((z >= 0) != (y[out] == 1)) @ weight
+            loss += np.logaddexp(0, np.where(y[out] == 1, -z, z)) @ weight
+        results.append((round(error, 9), loss, sure))
+    return min(results)[2]
+
+
+def fit(sample: DataFrame) -> dict:
+    """Weight of each bucket, the intercept and the strength chosen, from (doc_id, text, y)."""
+    keyed = sample.select(F.col("doc_id").cast("string").alias("key"), "text", "y", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    docs = np.zeros((FOLDS, 2))
+    for r in keyed.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        docs[r["fold"], r["y"]] = r["n"]
+    classes = docs.sum(axis=0)
+    if not classes.all():
+        share = classes[1] / max(classes.sum(), 1)
+        return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log((share + 1e-6) / (1 - share + 1e-6))), "sure": None}
+    counts = class_counts(keyed)
+    wanted = ratios(counts.sum(axis=0), classes, min(SURE)) != 0
+    for k in range(FOLDS):
+        if (classes - docs[k]).all():
+            wanted |= ratios(counts.sum(axis=0) - counts[k], classes - docs[k], min(SURE)) != 0
+    y, fold, row, bucket, count = told_features(keyed, wanted)
+    sure = validated(counts, docs, y, fold, row, bucket, count)
+    weights, bias = regression(y, row, bucket, count, ratios(counts.sum(axis=0), classes, sure))
+    return {"weights": weights.astype(np.float32), "bias": bias, "sure": sure}
 
 
 def scorer(model: dict) -> Callable[[list[str | None]], np.ndarray]:
@@ -144,7 +208,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learned(docs: DataFrame, labels: DataFrame) -> dict:
     """The model of the labelled rows that are not held out."""
-    return fit(training_sample(docs, labels, "toxic", ~held_out(), CAP, LONGEST))
+    return fit(training_sample(docs, labels, "toxic", ~held_out(), CAP))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
