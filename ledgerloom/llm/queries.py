@@ -68,4 +68,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secrets": secrets.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
+    "op9_urls": urlfilter.ORACLE_SQL,
 }

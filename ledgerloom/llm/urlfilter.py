@@ -1,24 +1,29 @@
 """URL filters by a path-template tree for each host.
 
 Rules (host and path prefix, allow or block) judge the urls they fit; the longest wins.
-Their verdicts are the labels from which the tree learns to judge all other urls. Level
-by level, under each host and template so far,
-
-* a segment is constant if at least ``LEAST`` urls and a share of ``SHARE`` have it;
-  all others are variable and become ``*`` (so a node has at most 1/SHARE constants);
-* constant siblings whose labelled block rates don't differ by a two-proportion test
-  merge into one branch ``a|b``; siblings without labels merge with one another only.
+Their verdicts are the labels from which the tree learns to judge all other urls. The tree is
+built from distinct (host, path) pairs, each counted once. Level by level, under each host and
+template so far (a slot), the values of the next segment are sorted out:
+
+* a slot is variable if its rare values, those that occur up to ``RARE`` times, make up half of its urls or more;
+  values of a variable slot, and rare values of any slot, become ``*``;
+* but a value with labels stays a branch of its own unless ``ALIKE`` or more other values of the
+  slot have labels and its blocked rate doesn't differ from theirs by a two-proportion test. So ``*``
+  takes its labels from many values that agree, and the labels of one or a few named segments never judge others;
+* labelled branches of one slot whose rates don't differ by the test merge into one, named ``a|b``
+  by its first ``NAMES`` values. Branches without labels stay single.
 
 Segments past ``DEPTH`` fold into ``**``. A template's purity is its share of blocked
-labels, smoothed by ``STRENGTH`` labels at what its parent lets expect: half way from
-``PRIOR`` to the parent's purity. So labels of other branches count less the farther
-off they are. Templates with a purity of ``REJECT`` or more are blocked.
+labels, smoothed by ``STRENGTH`` labels at ``PRIOR``; templates with a purity of ``REJECT`` or more are
+blocked, so templates without labels are allowed.
 
 Null urls and urls without ``://`` have an empty host and path, which are judged as the
-host '' at its root. Repeated urls count as often as they occur and are judged alike.
-Ties in rates are ordered by name. Templates of hosts without any label have the purity
-``PRIOR`` and are allowed. Empty tables give empty results; extra
-columns are kept by ``judge`` unless they bear the names of its results.
+host '' at its root. Repeated urls count once and are judged alike.
+Ties in rates are ordered by name. Empty tables give empty results; extra
+columns are kept by ``judge`` unless they bear the names of its results. Copies of one url are
+one row of the tree; branches, rates and purities come from aggregations that combine before
+their shuffle, and the windows run over a slot's distinct label counts and a merged branch's first names,
+so a host with a third of all pages is no one task's work.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, packed, table, unpacked
 
 #: The production rules.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
-DEPTH, LEAST, SHARE, Z, STRENGTH, PRIOR, REJECT = 4, 4, 0.05, 1.96, 2.0, 0.25, 0.5
+DEPTH, RARE, ALIKE, NAMES, Z, STRENGTH, PRIOR, REJECT = 4, 3, 5, 3, 1.96, 2.0, 0.25, 0.5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,66 +55,115 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def differ(p: str, n: str, q: str, m: str) -> str:
-    """SQL: smoothed rates p of n and q of m differ by more than Z standard errors."""
-    pooled = f"(({p} * {n} + {q} * {m}) / ({n} + {m}))"
-    return f"(abs({p} - {q}) > {Z}D * sqrt({pooled} * (1D - {pooled}) * (1D / {n} + 1D / {m})))"
+def differ(b: str, n: str, c: str, m: str) -> str:
+    """SQL: the rates b of n and c of m differ by more than Z standard errors (those of the common rate, smoothed by a label of each kind)."""
+    common = f"(({b} + {c} + 1) / ({n} + {m} + 2.0))"
+    return f"(abs({b} / greatest({n}, 1) - {c} / greatest({m}, 1)) > {Z} * sqrt({common} * (1 - {common}) * (1.0 / greatest({n}, 1) + 1.0 / greatest({m}, 1))))"
 
 
 def branches(rows: DataFrame) -> DataFrame:
-    """From (host, t, v, label): (host, t, v, branch) of the constant segments."""
-    seen = rows.where(F.col("v").isNotNull()).groupBy("host", "t", "v").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    total = seen.groupBy("host", "t").agg(F.sum("n").alias("all"))
-    fixed = seen.where(F.col("n") >= LEAST).join(total, ["host", "t"]).where(F.col("n") >= F.col("all") * SHARE)
-    fixed = fixed.withColumn("known", (F.col("labelled") > 0).cast("int")).withColumn("m", F.col("labelled") + F.lit(2.0)).withColumn("p", (F.col("blocked") + 1.0) / F.col("m"))
-    order = Window.partitionBy("host", "t").orderBy("known", "p", "v")  # at most 1/SHARE rows
-    fixed = fixed.withColumns({"p0": F.lag("p").over(order), "m0": F.lag("m").over(order), "known0": F.lag("known").over(order)})
-    apart = F.col("p0").isNull() | (F.col("known") != F.col("known0")) | F.expr(differ("p", "m", "p0", "m0"))
-    fixed = fixed.withColumn("group", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    names = F.array_join(F.array_sort(F.collect_list("v").over(Window.partitionBy("host", "t", "group"))), "|")
-    return fixed.select("host", "t", "v", names.alias("branch"))
+    """From (host, t, v, label): (host, t, v, branch) of the segments that aren't variable."""
+    seen = rows.where(F.col("v").isNotNull()).groupBy("host", "t", "v").agg(F.count(F.lit(1)).alias("n"), F.count("label").cast("double").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("double").alias("blocked"))
+    seen = table(seen, "segments")
+    slots = table(
+        seen.groupBy("host", "t").agg(
+            F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("n") <= RARE, F.col("n"))), F.lit(0)).alias("rare"), F.sum("labelled").alias("labels"), F.sum("blocked").alias("blocks"), F.count_if(F.col("labelled") > 0).alias("values"),
+        ),
+        "slots",
+    )
+    met = seen.join(slots, ["host", "t"])
+    known = F.col("labelled") > 0
+    variable = (F.col("rare") * 2 >= F.col("all")) | (F.col("n") <= RARE)
+    apart = F.expr(differ("blocked", "labelled", "(blocks - blocked)", "(labels - labelled)"))
+    fixed = table(met.where(~variable | (known & ((F.col("values") <= ALIKE) | apart))).select("host", "t", "v", "labelled", "blocked"), "branches")
+    # labelled branches in order of their rates; one row for each pair of counts, however many segments have it
+    rates = fixed.where(known).select("host", "t", "labelled", "blocked").distinct()
+    order = Window.partitionBy("host", "t").orderBy(F.col("blocked") / F.col("labelled"), "labelled")
+    rates = rates.withColumns({"b0": F.lag("blocked").over(order), "n0": F.lag("labelled").over(order)})
+    apart = F.col("n0").isNull() | F.expr(differ("blocked", "labelled", "b0", "n0"))
+    rates = rates.withColumn("group", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("host", "t", "labelled", "blocked", "group")
+    grouped = fixed.where(known).join(table(rates, "rates"), ["host", "t", "labelled", "blocked"]).select("host", "t", "v", "group")
+    grouped = table(grouped, "grouped")
+    place = F.row_number().over(Window.partitionBy("host", "t", "group").orderBy("v"))
+    first = grouped.withColumn("place", place).where(F.col("place") <= NAMES)
+    names = table(first.groupBy("host", "t", "group").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("branch")), "names")
+    merged = grouped.join(names, ["host", "t", "group"]).select("host", "t", "v", "branch")
+    return merged.unionByName(fixed.where(~known).select("host", "t", "v", F.col("v").alias("branch")))
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, segments, label and more) with t1 to t<DEPTH>: its template after each level."""
+    """``urls`` (host, segments, label and more) with ``template``."""
     rows = urls.withColumn("t", F.lit(""))
     for depth in range(1, DEPTH + 1):
-        value = F.get("segments", F.lit(depth - 1))
-        rows = table(rows.withColumn("v", value), f"templates-{depth}")
-        met = rows.join(branches(rows), ["host", "t", "v"], "left")
-        name = F.when(F.col("v").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        rows = table(rows.withColumn("v", F.get("segments", F.lit(depth - 1))), f"templates-{depth}")
+        ended = rows.where(F.col("v").isNull()).drop("v")
+        met = rows.where(F.col("v").isNotNull()).join(table(branches(rows), f"branches-{depth}"), ["host", "t", "v"], "left")
+        name = F.concat(F.lit("/"), F.coalesce("branch", F.lit("*")))
         if depth == DEPTH:
             name = F.when(F.size("segments") > DEPTH, F.concat(name, F.lit("/**"))).otherwise(name)
-        rows = met.withColumn("t", F.concat("t", name)).drop("v", "branch").withColumn(f"t{depth}", F.col("t"))
-    return rows.drop("t")
-
-
-def purities(rows: DataFrame) -> DataFrame:
-    """(host, template, purity) of every template that occurs."""
-    levels = [f"t{d}" for d in range(1, DEPTH + 1)]
-    nodes = rows.groupBy("host", *levels).agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    nodes = nodes.withColumn("purity", F.lit(PRIOR))
-    for depth in range(DEPTH + 1):
-        by = Window.partitionBy("host", *levels[:depth])
-        nodes = nodes.withColumns({"n": F.sum("labelled").over(by), "b": F.sum("blocked").over(by)})
-        nodes = nodes.withColumn("purity", (F.col("b") + F.lit(STRENGTH) * (F.col("purity") + F.lit(PRIOR)) / F.lit(2.0)) / (F.col("n") + F.lit(STRENGTH)))
-    return nodes.select("host", F.col(levels[-1]).alias("template"), "purity")
+        rows = ended.unionByName(met.withColumn("t", F.concat("t", name)).drop("v", "branch"))
+    return rows.withColumnRenamed("t", "template")
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES) -> DataFrame:
     """All columns of ``pages`` with host, path, rule, verdict, template and purity."""
     new = ["host", "path", "rule", "verdict", "template", "purity"]
-    kept = pages.drop(*new)
-    host, path = host_and_path(kept[url_col].cast("string"))
-    parsed = kept.withColumns({"host": host, "path": path}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    kept = pages.select(*[named(c) for c in pages.columns if c not in new])
+    host, path = host_and_path(named(url_col).cast("string"))
+    urls = pages.select(host.alias("host"), path.alias("path")).distinct().withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     said = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("rule")]
-    parsed = parsed.withColumn("label", (said == "block").cast("int")).withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
-    rows = table(templates(parsed), "templates")
-    judged = rows.withColumn("template", F.col(f"t{DEPTH}")).join(purities(rows), ["host", "template"])
+    urls = urls.withColumn("label", (said == "block").cast("int")).withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
+    rows = table(templates(urls), "templates")
+    nodes = rows.groupBy("host", "template").agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
+    purity = (F.col("blocked") + F.lit(STRENGTH * PRIOR)) / (F.col("labelled") + F.lit(STRENGTH))
+    judged = rows.join(table(nodes.select("host", "template", purity.alias("purity")), "purities"), ["host", "template"])
     verdict = F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow").when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return judged.withColumn("verdict", verdict).select(*kept.columns, *new)
+    judged = table(judged.select(F.col("host").alias("h"), F.col("path").alias("p"), "rule", verdict.alias("verdict"), "template", "purity"), "verdicts")
+    met = packed(kept, host=host, path=path).join(judged, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+    return met.select(*unpacked(kept), *new)
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every page."""
     return judge(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _oracle() -> str:
+    """DuckDB SQL for ``verdicts`` over ``pages``."""
+    ordered = sorted(RULES, key=lambda r: (len(r), r), reverse=True)
+    fits = []
+    for rule in ordered:
+        name, slash, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}') THEN '{rule}'")
+    said = " ".join(f"WHEN '{r}' THEN {int(v == 'block')}" for r, v in RULES.items())
+    steps = []
+    for d in range(1, DEPTH + 1):
+        last = " || CASE WHEN len(segments) > %d THEN '/**' ELSE '' END" % DEPTH if d == DEPTH else ""
+        steps.append(f"""
+seen{d} AS (SELECT host, t, segments[{d}] AS v, count(*)::DOUBLE AS n, count(label)::DOUBLE AS labelled, coalesce(sum(label), 0)::DOUBLE AS blocked
+  FROM rows{d - 1} WHERE len(segments) >= {d} GROUP BY ALL),
+rated{d} AS (SELECT *, sum(n) OVER w AS total, coalesce(sum(n) FILTER (n <= {RARE}) OVER w, 0) AS rare, sum(labelled) OVER w AS labels, sum(blocked) OVER w AS blocks,
+    count(*) FILTER (labelled > 0) OVER w AS vals FROM seen{d} WINDOW w AS (PARTITION BY host, t)),
+fixed{d} AS (SELECT * FROM rated{d} WHERE NOT (rare * 2 >= total OR n <= {RARE}) OR (labelled > 0 AND (vals <= {ALIKE} OR {differ('blocked', 'labelled', '(blocks - blocked)', '(labels - labelled)')}))),
+lagged{d} AS (SELECT *, lag(blocked) OVER w AS b0, lag(labelled) OVER w AS n0 FROM fixed{d} WHERE labelled > 0 WINDOW w AS (PARTITION BY host, t ORDER BY blocked / labelled, labelled, v)),
+grouped{d} AS (SELECT *, sum(CASE WHEN n0 IS NULL OR {differ('blocked', 'labelled', 'b0', 'n0')} THEN 1 ELSE 0 END) OVER (PARTITION BY host, t ORDER BY blocked / labelled, labelled, v) AS grp FROM lagged{d}),
+named{d} AS (SELECT host, t, v, list(v) OVER (PARTITION BY host, t, grp ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_ FROM grouped{d}),
+branch{d} AS (SELECT host, t, v, array_to_string(all_[1:{NAMES}], '|') AS branch FROM named{d} UNION ALL SELECT host, t, v, v FROM fixed{d} WHERE labelled = 0),
+rows{d} AS (SELECT r.host, path, rule, label, segments, CASE WHEN len(segments) < {d} THEN r.t ELSE r.t || '/' || coalesce(branch, '*'){last} END AS t
+  FROM rows{d - 1} r LEFT JOIN branch{d} b ON r.host = b.host AND r.t = b.t AND r.segments[{d}] = b.v)""")
+    return f"""
+WITH parsed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)),
+urls AS (SELECT *, CASE {' '.join(fits)} END AS rule FROM (SELECT DISTINCT host, path FROM parsed)),
+rows0 AS (SELECT *, CASE rule {said} END AS label, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS t FROM urls),
+{','.join(steps).strip()},
+judged AS (SELECT host, path, rule, t AS template, CASE WHEN label = 1 THEN 'block' WHEN label = 0 THEN 'allow'
+    WHEN (coalesce(sum(label) OVER w, 0) + {STRENGTH * PRIOR}) / (count(label) OVER w + {STRENGTH}) >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict
+  FROM rows{DEPTH} WINDOW w AS (PARTITION BY host, t))
+SELECT page_id, host, path, rule, verdict, template FROM parsed JOIN judged USING (host, path)
+"""
+
+
+ORACLE_SQL = _oracle()
