@@ -4,7 +4,8 @@ Each match of the split pattern becomes a row of byte tokens. Rows are put into
 buckets by length, padded to one matrix per bucket, and every round merges in each
 row the leftmost pair of least rank. Pair ranks come from an open-addressing hash
 table in numpy; finished rows are compacted away. A match of over ``WIDEST`` bytes
-would make a matrix of quadratic cost, so those few go through an exact heap merge.
+would make a matrix of quadratic cost, so those few go through an exact heap merge
+(the results are equal; a test holds both against each other).
 
 Nulls encode as empty texts; empty texts give no ids. Repeated rows and ties need
 no rule: every row is encoded by itself. Extra columns are not read.
@@ -25,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices
+from .common import named, ragged, slices
 
-#: Bytes of text in one slice, entries of the memo before it starts anew, cells of a matrix, longest row of a matrix.
-SLICE_BYTES, MEMO_ENTRIES, CELLS, WIDEST = 4 << 20, 500_000, 1 << 20, 2048
+#: Bytes of text in one slice, bytes of a memo before it starts anew, cells of a matrix, longest row of a matrix.
+SLICE_BYTES, MEMO_BYTES, CELLS, WIDEST = 1 << 20, 24 << 20, 1 << 19, 2048
+#: Bytes that an entry of a memo takes besides its text.
+ENTRY_BYTES = 160
 NONE = np.int32(np.iinfo(np.int32).max)
 EMPTY = np.int64(-1)
 _SPACES = re.compile(r"\s\s")
@@ -223,12 +226,12 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.place = Numbered()
+        self.place, self.held = Numbered(), 0
         self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and how many each has."""
-        if len(self.place) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.clear()
         known = len(self.place)
         get = self.place.__getitem__
@@ -245,6 +248,7 @@ class Memo:
             counts[k] = len(uses) - before
         new = list(islice(self.place, known, None))
         if new:
+            self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
             found = list(map(self.find, new))
             names: dict[str, int] = {}
             which = np.array([names.setdefault(m, len(names)) for chunk in found for m in chunk], np.int64)
@@ -261,20 +265,41 @@ class Memo:
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row; ``path`` is a rank file, read on the driver and sent to tasks as arrays."""
+def encoded(memo: Memo, part: pa.RecordBatch) -> pa.ListArray:
+    """The ids of each text of a slice."""
+    ids, counts = memo.texts([x or "" for x in part.column("text").to_pylist()])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+
+
+def decoded(model: dict, lists: pa.ListArray) -> pa.Array:
+    """The bytes that each list of ids stands for, from the ids and the vocabulary alone."""
+    lengths = model["lengths"]
+    starts, data = np.cumsum(lengths) - lengths, np.frombuffer(model["data"], np.uint8)
+    counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if ids.size and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
+        raise ValueError("an id is not in the vocabulary")
+    sizes = lengths[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+    found = data[ragged(starts[ids], sizes)]
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every row; ``path`` is a rank file, read on the driver and sent to tasks as arrays. With ``back``
+    also ``data`` binary, what the ids decode to: both directions in one pass, so that a core runs one Python worker."""
     model = docs.sparkSession.sparkContext.broadcast(build_model(path))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Merger(model.value), pattern)
         for part in slices(batches, "text", SLICE_BYTES):
-            ids, counts = memo.texts([x or "" for x in part.column("text").to_pylist()])
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
+            lists = encoded(memo, part)
+            columns = [part.column("doc_id"), lists] + ([decoded(model.value, lists)] if back else [])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "data"][: len(columns)])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    picked = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"doc_id {kind}, ids array<int>" + (", data binary" if back else ""))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -283,21 +308,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = model.value["lengths"]
-        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(model.value["data"], np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                lists = batch.column("ids")
-                counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if ids.size and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                sizes = lengths[ids]
-                found = data[ragged(starts[ids], sizes)]
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-                binary = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, binary.cast(pa.binary())], ["doc_id", "ids", "data"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), decoded(model.value, batch.column("ids"))], ["doc_id", "ids", "data"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, data binary")
 
@@ -313,6 +327,6 @@ def default_vocabulary() -> tuple[str, str]:
 def digests(docs: DataFrame) -> DataFrame:
     """Encode and decode with the production vocabulary; one row of digests for each document."""
     path, pattern = default_vocabulary()
-    both = decode(encode(docs, path, pattern), path)
+    both = encode(docs, path, pattern, back=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("data"), 256).alias("decoded_sha256"))
