@@ -9,6 +9,9 @@ table or by sync codes with valid header checksums, decodes many frames in step
 the channel decorrelation, and verifies header CRC-8, frame CRC-16 and the MD5 of the
 samples. Samples come back as little-endian PCM (8 bit: unsigned, as in WAV).
 
+Frames are encoded and decoded in runs of up to ``RUN``, also within one stream, so a very long value needs a few
+copies of its bytes and no more. ``digests`` does both in one Python pass.
+
 Null values are stored as empty payloads; a null, damaged or foreign stream decodes
 to null samples and a text in ``error``. Extra columns are not read.
 """
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices
+from .common import named, ragged, slices
 
 #: Samples in a frame, sample rate, bytes handled at once, padding unit of payloads.
-BLOCK, RATE, SLICE_BYTES, UNIT = 1024, 8000, 2 << 20, 64
+BLOCK, RATE, SLICE_BYTES, UNIT = 1024, 8000, 1 << 20, 64
+#: Frames handled at once.
+RUN = 1024
 #: Fixed values of the format: predictor coefficients by order, bits a sample by code, block sizes by code.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
@@ -82,20 +87,13 @@ def put_bits(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -
         bits[at + j] = values >> (width - 1 - j) & 1
 
 
-def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """One FLAC stream for each payload; a payload has at least one byte."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
-    frames_of = -(-sizes // BLOCK)
-    doc = np.repeat(np.arange(len(payloads)), frames_of)
-    number = ragged(np.zeros(len(payloads), np.int64), frames_of)
-    first = (np.cumsum(sizes) - sizes)[doc] + number * BLOCK
-    n = np.minimum(BLOCK, sizes[doc] - number * BLOCK)
-    count = len(doc)
+def encode_frames(data: np.ndarray, number: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames with these numbers and sizes, one after the other, of the 8-bit samples ``data``; and the bytes of each."""
+    count = len(n)
     column = np.arange(BLOCK)
     inside = column[None, :] < n[:, None]
     s = np.zeros((count, BLOCK), np.int32)
-    s[inside] = data
+    s[inside] = data.astype(np.int32) - 128
 
     constant = ((s == s[:, :1]) | ~inside).all(axis=1)
     best = np.where(constant, 16, 8 * n + 8).astype(np.int64)
@@ -179,18 +177,33 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     crc = crc_of(out, start, length - 2, 16)
     out[start + length - 2], out[start + length - 1] = crc >> 8, crc & 0xFF
 
+    return out.tobytes(), length
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """One FLAC stream for each payload; a payload has at least one byte."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    data = np.frombuffer(payloads[0] if len(payloads) == 1 else b"".join(payloads), np.uint8)
+    frames_of = -(-sizes // BLOCK)
+    number = ragged(np.zeros(len(payloads), np.int64), frames_of)
+    n = np.minimum(BLOCK, np.repeat(sizes, frames_of) - number * BLOCK)
+    ends = np.cumsum(n)
+    runs = [encode_frames(data[ends[lo] - n[lo] : ends[min(lo + RUN, len(n)) - 1]], number[lo : lo + RUN], n[lo : lo + RUN]) for lo in range(0, len(n), RUN)]
+    raw_frames, length = b"".join(r for r, _ in runs), np.concatenate([k for _, k in runs])
+    del runs
+    start = np.cumsum(length) - length
     streams = []
     bounds = np.concatenate([[0], np.cumsum(frames_of)])
-    raw_frames = out.tobytes()
-    signed = data.astype(np.int8).tobytes()
     byte = 0
     for d, size in enumerate(sizes.tolist()):
         lo, hi = int(bounds[d]), int(bounds[d + 1])
         begin, stop_at = int(start[lo]), int(start[hi - 1] + length[hi - 1])
         info = struct.pack(">HH", BLOCK, BLOCK) + int(length[lo:hi].min()).to_bytes(3, "big") + int(length[lo:hi].max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | size).to_bytes(8, "big") + hashlib.md5(signed[byte : byte + size], usedforsecurity=False).digest()
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | size).to_bytes(8, "big") + hashlib.md5((data[byte : byte + size] ^ 0x80).tobytes(), usedforsecurity=False).digest()
         points = np.zeros(hi - lo, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
         points["sample"], points["offset"], points["n"] = number[lo:hi] * BLOCK, start[lo:hi] - begin, n[lo:hi]
+        # a seek table holds as many points as its 24-bit size allows: a longer stream gets one for every second, third, ... frame
+        points = points[:: 1 + len(points) * 18 // (1 << 24)]
         seek = points.tobytes()
         streams.append(b"fLaC\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + raw_frames[begin:stop_at])
         byte += size
@@ -472,7 +485,7 @@ def decode_many(streams: list[bytes | None]) -> list[dict]:
             if not len(frames):
                 if info["samples"]:
                     raise Damaged("no frames")
-                out[d] |= {"pcm": b"", "blocks": [], "feature": feature_of(np.zeros(0, np.int64))}
+                out[d] |= {"pcm": b"", "blocks": [], "feature": "n=0"}
                 continue
             jobs.append((d, info, offset + base + frames, offset + len(data)))
             offset += len(data)
@@ -486,23 +499,17 @@ def decode_many(streams: list[bytes | None]) -> list[dict]:
             start = np.concatenate([j[2] for j in some])
             end = np.concatenate([np.append(j[2][1:], j[3]) for j in some])
             owner = np.repeat(np.arange(len(some)), [len(j[2]) for j in some])
-            samples, n, number = decode_frames(data, start, end, [some[o][1] for o in owner.tolist()])
-            bounds = np.concatenate([[0], np.cumsum([len(j[2]) for j in some])])
-            flat = samples.transpose(2, 1, 0)
-            for k, (d, info, frames, _) in enumerate(some):
-                lo, hi = bounds[k], bounds[k + 1]
-                part, sizes = flat[lo:hi, :, : info["channels"]], n[lo:hi]
-                joined = part[np.arange(part.shape[1])[None, :] < sizes[:, None]]
-                signed, pcm = pcm_of(joined, info["bits"])
-                if info["samples"] and info["samples"] != len(joined):
-                    raise Damaged("number of samples")
-                if not ((number[lo:hi] == np.arange(hi - lo)).all() or (number[lo:hi] == np.cumsum(sizes) - sizes).all()):
-                    raise Damaged("frame numbers")
-                if any(info["md5"]) and hashlib.md5(signed, usedforsecurity=False).digest() != info["md5"]:
-                    raise Damaged("sample checksum")
-                first = np.cumsum(sizes) - sizes
-                step = info["channels"] * -(-info["bits"] // 8)
-                out[d] |= {"pcm": pcm, "blocks": [{"first_sample": f, "byte_offset": f * step, "n_samples": m, "n_bytes": m * step} for f, m in zip(first.tolist(), sizes.tolist(), strict=True)], "feature": feature_of(joined[:, 0])}
+            readers = [Reader(info) for _, info, _, _ in some]
+            for lo in range(0, len(start), RUN):
+                hi = min(lo + RUN, len(start))
+                first = start[lo]
+                samples, n, number = decode_frames(data[first : end[hi - 1]], start[lo:hi] - first, end[lo:hi] - first, [some[o][1] for o in owner[lo:hi].tolist()])
+                flat = samples.transpose(2, 1, 0)
+                for o in np.unique(owner[lo:hi]):
+                    mine = np.flatnonzero(owner[lo:hi] == o)
+                    readers[o].take(flat[mine], n[mine], number[mine])
+            for (d, _, _, _), reader in zip(some, readers, strict=True):
+                out[d] |= reader.result()
         except Damaged as damage:
             if len(some) == 1:
                 out[some[0][0]] |= {"pcm": None, "blocks": None, "feature": None, "error": str(damage)}
@@ -510,45 +517,81 @@ def decode_many(streams: list[bytes | None]) -> list[dict]:
                 attempt(some[: len(some) // 2], data)
                 attempt(some[len(some) // 2 :], data)
 
-    attempt(jobs, np.frombuffer(b"".join(streams[j[0]] for j in jobs), np.uint8))
+    attempt(jobs, np.frombuffer(streams[jobs[0][0]] if len(jobs) == 1 else b"".join(streams[j[0]] for j in jobs), np.uint8))
     return out
 
 
-def feature_of(samples: np.ndarray) -> str:
-    """Peak, energy, sum and sign changes of the first channel, as one string."""
-    if not len(samples):
-        return "n=0"
-    signs = samples < 0
-    return f"n={len(samples)};peak={int(np.abs(samples).max())};energy={int((samples * samples).sum())};sum={int(samples.sum())};crossings={int((signs[1:] != signs[:-1]).sum())}"
+class Reader:
+    """Puts the decoded frames of one stream together, run by run, and verifies them."""
+
+    def __init__(self, info: dict) -> None:
+        self.info, self.sum, self.pcm, self.sizes, self.numbers = info, hashlib.md5(usedforsecurity=False), [], [], []
+        self.peak = self.energy = self.total = self.crossings = 0
+        self.last: np.ndarray = np.zeros(0, bool)
+
+    def take(self, frames: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> None:
+        """Samples [frame, sample, channel] of the next frames."""
+        part = frames[:, :, : self.info["channels"]]
+        joined = part[np.arange(part.shape[1])[None, :] < sizes[:, None]]
+        signed, pcm = pcm_of(joined, self.info["bits"])
+        self.sum.update(signed)
+        self.pcm.append(pcm)
+        self.sizes.append(sizes)
+        self.numbers.append(numbers)
+        one = joined[:, 0]
+        signs = np.concatenate([self.last, one < 0])
+        self.peak, self.energy, self.total = max(self.peak, int(np.abs(one).max())), self.energy + int((one * one).sum()), self.total + int(one.sum())
+        self.crossings, self.last = self.crossings + int((signs[1:] != signs[:-1]).sum()), signs[-1:]
+
+    def result(self) -> dict:
+        sizes, numbers, info = np.concatenate(self.sizes), np.concatenate(self.numbers), self.info
+        count, first = int(sizes.sum()), np.cumsum(sizes) - sizes
+        if info["samples"] and info["samples"] != count:
+            raise Damaged("number of samples")
+        if not ((numbers == np.arange(len(numbers))).all() or (numbers == first).all()):
+            raise Damaged("frame numbers")
+        if any(info["md5"]) and self.sum.digest() != info["md5"]:
+            raise Damaged("sample checksum")
+        step = info["channels"] * -(-info["bits"] // 8)
+        blocks = [{"first_sample": f, "byte_offset": f * step, "n_samples": m, "n_bytes": m * step} for f, m in zip(first.tolist(), sizes.tolist(), strict=True)]
+        return {"pcm": b"".join(self.pcm), "blocks": blocks, "feature": f"n={count};peak={self.peak};energy={self.energy};sum={self.total};crossings={self.crossings}"}
+
+
+NEW = ["pcm", "blocks", "feature", "error"]
+DECODED = "pcm binary, blocks array<struct<first_sample:bigint,byte_offset:bigint,n_samples:bigint,n_bytes:bigint>>, feature string, error string"
+TYPES = (pa.binary(), pa.list_(pa.struct([(f, pa.int64()) for f in ("first_sample", "byte_offset", "n_samples", "n_bytes")])), pa.string(), pa.string())
+
+
+def read_back(streams: list[bytes | None]) -> list[pa.Array]:
+    found = decode_many(streams)
+    return [pa.array([x[c] for x in found], t) for c, t in zip(NEW, TYPES, strict=True)]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each value as UTF-8 (binary as it is), padded with zeros to a positive multiple of ``UNIT`` bytes, as a FLAC stream."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, media): each value as UTF-8 (binary as it is), padded with zeros to a positive multiple of ``UNIT`` bytes, as a FLAC stream.
+    With ``back`` also what ``decode`` reads from the stored bytes, in the same pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "payload", SLICE_BYTES):
             plain = [x or b"" for x in part.column("payload").to_pylist()]
-            padded = [x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)) for x in plain]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in plain], pa.int64()), pa.array(encode_many(padded), pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("payload")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+            sizes = [len(x) for x in plain]
+            media = encode_many([x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)) for x in plain])
+            del plain
+            columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + (read_back(media) if back else []), ["doc_id", "n_bytes", "media", *(NEW if back else [])])
 
-
-DECODED = "pcm binary, blocks array<struct<first_sample:bigint,byte_offset:bigint,n_samples:bigint,n_bytes:bigint>>, feature string, error string"
+    picked = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("binary").alias("payload"))
+    return picked.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary" + (f", {DECODED}" if back else ""))
 
 
 def decode(stored: DataFrame, media_col: str = "media") -> DataFrame:
     """Read FLAC streams back: all columns of ``stored`` (less those named as the new ones), with ``pcm``, ``blocks``, ``feature`` and ``error``."""
-    new = ["pcm", "blocks", "feature", "error"]
-    kept = stored.select(*[c for c in stored.columns if c not in new])
-    blocks = pa.list_(pa.struct([("first_sample", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int64()), ("n_bytes", pa.int64())]))
+    kept = stored.select(*[named(c) for c in stored.columns if c not in NEW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media_col, SLICE_BYTES):
-            found = decode_many(part.column(media_col).to_pylist())
-            added = [pa.array([x[c] for x in found], t) for c, t in zip(new, (pa.binary(), blocks, pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*part.columns, *read_back(part.column(media_col).to_pylist())], [*part.schema.names, *NEW])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{schema}, {DECODED}")
@@ -561,7 +604,8 @@ def pcm_blocks(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, and derive one row of digests for each document."""
-    back = decode(encode(docs))
-    tail = F.expr("substring(pcm, -64, 64)")
-    return back.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "error")
+    """Store every text as FLAC, read the stored bytes back, and derive one row of digests for each document. The tail is found by the last PCM block's offset."""
+    back = encode(docs, back=True)
+    last = F.element_at("blocks", -1)
+    tail = F.substring("pcm", (last["byte_offset"] + last["n_bytes"] - 63).cast("int"), F.lit(64))
+    return back.select("doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("blocks").cast("long").alias("n_blocks"), "error")
