@@ -12,9 +12,9 @@ exactly on 32-bit shingle hashes.
 
 Candidates go by weighted sets and links by plain ones. Weights lie between 1 and
 1 + ``SPREAD``, so each term of the probability Jaccard is at least 1/(1 + ``SPREAD``) of that of
-plain sets: a pair of similarity 0.8 has a probability Jaccard of at least 0.8/1.1 = 0.727 whatever
+plain sets: a pair of similarity 0.8 has a probability Jaccard of at least 0.8/1.05 = 0.762 whatever
 lines repeat, and with independent registers shares no band with probability
-(1 - 0.727**4)**32 = 3 in 100,000 at most; where counts are alike (1 - 0.8**4)**32 = 5 in 100 million.
+(1 - 0.762**4)**24 = 5 in 100,000 at most; where counts are alike (1 - 0.8**4)**24 = 3 in a million.
 
 Groups may be huge, so pairs within a band are never listed. First each member of a
 band is compared with the band's most central member only, and linked texts become
@@ -24,7 +24,8 @@ a band's largest component are compared with all its members, in cells of bounde
 only the links that join two components. So no candidate is dropped and the classes are
 those of all links among candidates. Texts equal up to case and white space are one node from the start.
 Small sides of joins are written as tables first, so that both sides of every join on a key that may
-be hot are plain exchanges, which AQE splits.
+be hot are plain exchanges, which AQE splits. Tables of bands and nodes grow with the input, so they are
+merged by shuffle at every size and not broadcast while they happen to be small.
 
 A node is named by a 64-bit hash of its words; two texts meet in it by chance with
 probability n*n/2**65. Null texts and texts without words have no shingles and stand
@@ -46,9 +47,9 @@ from .common import mix64, named, packed, ragged, release, slices, table, unpack
 from .subwords import word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
 #: How much more than 1 the weight of a shingle may be that occurs more than once.
-SPREAD = 0.1
+SPREAD = 0.05
 REGISTERS = BANDS * ROWS
 SLICE_BYTES, MEMO_BYTES, WORD_BYTES, CELL, COLUMNS = 2 << 20, 24 << 20, 170, 1 << 18, 2048
 ODD = np.uint64(0x9E6C63D0876A9A47)
@@ -187,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     n, m = F.size("sa"), F.size("sb")
     near = F.least(n, m) >= F.greatest(n, m) * SIMILARITY
     common = F.when(near, F.size(F.array_intersect("sa", "sb"))).otherwise(0)
@@ -264,7 +265,7 @@ def rest_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     strays = met.where(F.col("component") != F.col("main")).select("band", "node", "component", F.lit(True).alias("stray"), F.pmod(F.xxhash64("node"), "stray_cells").cast("int").alias("i"), upto(F.col("member_cells")).alias("j"))
     others = met.select("band", "node", "component", F.lit(False).alias("stray"), upto(F.col("stray_cells")).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), "member_cells").cast("int").alias("j"))
-    placed = strays.unionByName(others).join(sets, "node")
+    placed = strays.unionByName(others).join(sets.hint("merge"), "node")
     return placed.groupBy("band", "i", "j").applyInArrow(joined_in, "a bigint, b bigint")
 
 
@@ -272,9 +273,9 @@ def classes_of_nodes(rows: DataFrame) -> DataFrame:
     """(node, component) of the nodes that share a band with another one, from a table of ``signatures``."""
     each = rows.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi")).select("band", "n")
-    members = table(each.join(table(shared, "shared"), "band").groupBy("band", "node").agg(F.max("n").alias("n")), "members")
+    members = table(each.join(table(shared, "shared").hint("merge"), "band").groupBy("band", "node").agg(F.max("n").alias("n")), "members")
     weights = table(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    sets = table(rows.select("node", "shingles").join(weights.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = table(rows.select("node", "shingles").join(weights.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     central = table(members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", F.col("c.node").alias("b")), "central")
     pairs = members.select("band", F.col("node").alias("a")).join(central, "band").where(F.col("a") != F.col("b")).select("a", "b").distinct()
     first = components(verified(pairs, sets))
