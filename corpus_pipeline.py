@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, minhash, mixing, secrets, toxicity
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import release, table
 
 #: No SQL: the toxicity model and the tokens come from numpy; a test holds the rows against a brute-force version.
 ORACLE_SQL = None
@@ -46,7 +46,8 @@ STAGES = [("toxicity", not_toxic), ("minhash", deduplicated), ("secrets", masked
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = table(docs, f"stage-{name}")
+            release(before)  # the table of the stage before; the input isn't one
     return docs
