@@ -22,7 +22,9 @@ def split(frame: DataFrame, total: str, breakdown: DataFrame, east: str, west: s
 
 
 def actuals(costs: DataFrame, breakdown: DataFrame, day: str | None = None) -> DataFrame:
-    """(division, actual_cents, n_costs, east_cents, west_cents); costs without a division don't count."""
+    """(division, actual_cents, n_costs, east_cents, west_cents); costs without a division, and those that a column ``excluded`` flags, don't count."""
+    if "excluded" in costs.columns:
+        costs = costs.where(~F.coalesce("excluded", F.lit(False)))
     sums = as_of(costs, day).where(F.col("division").isNotNull()).groupBy("division").agg(F.sum("amount_cents").alias("actual_cents"), F.count(F.lit(1)).alias("n_costs"))
     return split(sums, "actual_cents", breakdown, "east_cents", "west_cents")
 

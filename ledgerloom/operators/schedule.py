@@ -77,19 +77,29 @@ def earned_value(allocations: DataFrame, actual: DataFrame, at: str) -> DataFram
     return out.withColumns({"eac_cpi": by_cpi, "eac_remaining": F.col("ac") + F.col("bac") - F.col("ev"), "cpi": F.round("cpi", 6), "spi": F.round("spi", 6)})
 
 
+def months_of(first: Column, last: Column) -> Column:
+    """The first days of the months that a range of days touches."""
+    return F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
+
+
+def days_in(month: Column, first: Column, last: Column) -> Column:
+    """Days of a range, both ends counted, that lie in the month with this first day."""
+    return F.datediff(F.least(last, F.last_day(month)), F.greatest(first, month)) + 1
+
+
 def remaining_by_period(activities: DataFrame, at: str) -> DataFrame:
-    """Share of each division's remaining days that fall into each month after a day."""
-    start = F.greatest(F.col("start_date"), F.date_add(day(at), 1))
-    days = activities.where(F.col("finish_date") > day(at)).withColumn("d", F.explode(F.sequence(start, F.col("finish_date"))))
-    months = days.groupBy("division", F.date_format("d", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"))
+    """Share of each division's remaining days that fall into each month after a day. A month is one row of an activity, not each of its days."""
+    rows = activities.where(F.col("finish_date") > day(at)).withColumn("_from", F.greatest(F.col("start_date"), F.date_add(day(at), 1)))
+    parts = rows.select("division", "_from", "finish_date", F.explode(months_of(F.col("_from"), F.col("finish_date"))).alias("m"))
+    months = parts.groupBy("division", F.date_format("m", "yyyy-MM").alias("month")).agg(F.sum(days_in(F.col("m"), F.col("_from"), F.col("finish_date"))).cast("long").alias("days"))
     return months.withColumn("share", F.round(F.col("days") / F.sum("days").over(Window.partitionBy("division")), 8))
 
 
 def prorated(amounts: DataFrame, key: str) -> DataFrame:
     """(key, month, cents): weekly amounts by their days in each month; what rounding leaves goes to the month with most days (the earlier on ties)."""
-    days = amounts.withColumn("d", F.explode(F.sequence(F.col("week_start"), F.date_add("week_start", 6))))
-    parts = days.groupBy(key, "week_start", "cents", F.date_format("d", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"))
-    parts = parts.withColumn("part", F.expr("cents * days div 7"))
+    end = F.date_add("week_start", 6)
+    parts = amounts.withColumn("m", F.explode(months_of(F.col("week_start"), end))).withColumns({"days": days_in(F.col("m"), F.col("week_start"), end), "month": F.date_format("m", "yyyy-MM")})
+    parts = parts.groupBy(key, "week_start", "month", "days").agg(F.sum("cents").alias("cents")).withColumn("part", F.expr("cents * days div 7"))
     week = Window.partitionBy(key, "week_start")
     most = F.row_number().over(week.orderBy(F.desc("days"), "month")) == 1
     return parts.withColumns({"_most": most, "_left": F.col("cents") - F.sum("part").over(week)}).withColumn("part", F.col("part") + F.when(F.col("_most"), F.col("_left")).otherwise(0)).groupBy(key, "month").agg(F.sum("part").alias("cents"))

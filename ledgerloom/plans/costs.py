@@ -10,20 +10,11 @@ from ..functions.money import safe_ratio
 from ..operators import dedupe, features, recon
 from ..sources import tables
 from ..sources.tables import SQL, east_sql
+from .base import registered
 
 AS_OF = "2000-01-01"
 WITH = f"WITH {SQL.strip()},\n"
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+query, QUERIES, ORACLE_SQL = registered()
 
 
 ACTUALS = f"""acts AS (SELECT division, CAST(sum(amount_cents) AS BIGINT) AS actual_cents, count(*) AS n_costs FROM costs WHERE date <= DATE '{AS_OF}' GROUP BY division),
@@ -127,10 +118,43 @@ def data_health(spark: SparkSession, sf: str) -> DataFrame:
 KEYS = ["l_suppkey", "quantity", "date"]
 
 
-@query(f"""{WITH}g AS (SELECT l_suppkey, quantity, date, count(*) AS group_size, list_sort(list(cost_key)) AS m FROM costs GROUP BY ALL HAVING count(*) > 1)
-SELECT cost_key, group_size, array_to_string(list_filter(m, lambda x: x <> cost_key), ',') AS matched_with FROM costs JOIN g USING (l_suppkey, quantity, date)""")
+@query(f"""{WITH}g AS (SELECT l_suppkey, quantity, date, count(*) AS group_size, min(cost_key) AS group_id FROM costs GROUP BY ALL HAVING count(*) > 1)
+SELECT cost_key, group_size, group_id FROM costs JOIN g USING (l_suppkey, quantity, date)""")
 def duplicates_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.exact(tables.costs(spark, sf), KEYS).select("cost_key", "group_size", F.array_join("matched_with", ",").alias("matched_with"))
+    return dedupe.exact(tables.costs(spark, sf), KEYS).select("cost_key", "group_size", "group_id")
+
+
+EXACT = "ex AS (SELECT min(cost_key) OVER (PARTITION BY l_suppkey, quantity, date) AS group_id, cost_key AS row_id, 1.0::DOUBLE AS score, count(*) OVER (PARTITION BY l_suppkey, quantity, date) AS n FROM costs)"
+NEAR = """nr AS (SELECT CAST(min(cost_key) OVER w AS VARCHAR) AS group_id, cost_key AS row_id, count(*) OVER w AS n, min(date) OVER w AS lo, max(date) OVER w AS hi FROM costs WINDOW w AS (PARTITION BY l_suppkey, l_partkey, quantity))"""
+MEMBERS = f"""{EXACT}, {NEAR}, members AS (SELECT 'exact:' || group_id AS group_id, row_id, score, 'exact' AS method FROM ex WHERE n > 1
+  UNION ALL SELECT 'near:' || group_id, row_id, CAST(0.95 AS DOUBLE) - CASE WHEN hi - lo <= 7 THEN 0.0::DOUBLE WHEN hi - lo <= 30 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END, 'near' FROM nr WHERE n > 1 AND hi > lo)"""
+
+
+def _duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    c = tables.costs(spark, sf)
+    same = ["l_suppkey", "l_partkey", "quantity"]
+    one = dedupe.exact(c, KEYS).select("group_id", F.col("cost_key").alias("row_id"), F.lit(1.0).alias("score"))
+    two = c.join(dedupe.near(c, same), same).select(F.col("first_id").alias("group_id"), F.col("cost_key").alias("row_id"), "score")
+    return dedupe.united([("exact", one), ("near", two)])
+
+
+@query(f"{WITH}{MEMBERS} SELECT *, max(score) OVER (PARTITION BY group_id) AS top_score FROM members")
+def duplicates_united(spark: SparkSession, sf: str) -> DataFrame:
+    return _duplicates(spark, sf)
+
+
+@query(f"""{WITH}{MEMBERS}, g AS (SELECT group_id, method, max(score) AS score, count(*) AS n FROM members GROUP BY ALL)
+SELECT method, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups, count(*) FILTER (score >= 0.98) AS n_auto, count(*) FILTER (score < 0.98) AS n_pending, max(n) AS largest_group FROM g GROUP BY method""")
+def duplicates_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe.summarised(_duplicates(spark, sf))
+
+
+@query(f"""{WITH}{ACTUALS}, k AS (SELECT division, amount_cents FROM costs WHERE date <= DATE '{AS_OF}' QUALIFY cost_key = min(cost_key) OVER (PARTITION BY l_suppkey, quantity, date))
+SELECT division, CAST(sum(amount_cents) AS BIGINT) AS actual_cents, count(*) AS n_costs FROM k GROUP BY division""")
+def recon_actuals_without_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of exact duplicates score 1.0 and collapse by themselves: all but their first rows leave the actuals."""
+    flagged = dedupe.keep_first(recon.as_of(tables.costs(spark, sf), AS_OF), KEYS)
+    return recon.actuals(flagged, tables.breakdown(spark, sf), AS_OF).select("division", "actual_cents", "n_costs")
 
 
 @query(f"""{WITH}g AS (SELECT l_suppkey, l_partkey, quantity, count(*) AS n, count(DISTINCT date) AS n_dates, CAST(max(date) - min(date) AS INTEGER) AS span_days, min(cost_key) AS first_id FROM costs GROUP BY ALL)

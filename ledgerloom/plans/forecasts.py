@@ -9,18 +9,9 @@ from ..functions.money import largest_remainder
 from ..operators import forecast
 from ..sources import tables
 from .costs import AS_OF, WITH
+from .base import registered
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+query, QUERIES, ORACLE_SQL = registered()
 
 
 def _amounts(spark: SparkSession, sf: str) -> DataFrame:

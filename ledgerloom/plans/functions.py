@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, dates, money, text
 from ..sources import tables
+from .base import registered
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+query, QUERIES, ORACLE_SQL = registered()
 
 
 @query("""WITH b AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)

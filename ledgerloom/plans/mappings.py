@@ -8,18 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import fuzzy, mapping
 from ..sources import tables
 from .costs import WITH
+from .base import registered
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+query, QUERIES, ORACLE_SQL = registered()
 
 
 def _saved(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import costs, forecasts, functions, mappings, schedules, streams
+from . import controls, costs, forecasts, functions, ledger, mappings, phases, schedules, streams
 
-MODULES = (costs, forecasts, schedules, mappings, functions, streams)
+MODULES = (costs, forecasts, schedules, mappings, functions, streams, ledger, controls, phases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,21 +9,12 @@ from ..functions import dates
 from ..operators import schedule
 from ..sources import tables
 from .costs import WITH
+from .base import registered
 
-QUERIES, ORACLE_SQL = {}, {}
+query, QUERIES, ORACLE_SQL = registered()
 AT = "1998-07-01"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 PROGRESS = f"""prog AS (SELECT *, CASE WHEN DATE '{AT}' < start_date THEN 0.0::DOUBLE WHEN DATE '{AT}' >= finish_date THEN 1.0::DOUBLE ELSE (DATE '{AT}' - start_date)::DOUBLE / duration_days END AS progress,
   finish_date < DATE '{AT}' AS is_complete, DATE '{AT}' BETWEEN start_date AND finish_date AS is_active,
   CASE WHEN is_critical THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(greatest(duration_days, 1) / 10.0::DOUBLE) AS w FROM activities)"""

@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources import tables
 from ..streaming import feeds
+from .base import registered
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+query, QUERIES, ORACLE_SQL = registered()
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,7 +23,8 @@ def replace(frame: DataFrame, path: str) -> None:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The merged table, and an audit of changed rows (keys, old_value, new_value as JSON). The last of several new rows of a key is undefined; give one."""
+    """The merged table, and an audit of changed rows (keys, old_value, new_value as JSON). Of several new rows of a key the one with the largest values, in the order of the columns, counts."""
+    new = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in old.columns if c not in keys])).alias("_v")).select(*keys, "_v.*")
     values = [c for c in old.columns if c not in keys]
     packed = lambda f, name: f.select(*keys, F.to_json(F.struct(*values)).alias(name))
     merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -13,14 +13,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line item; returned items are credits. ``cost_key`` names a row by its columns. Dimensions are joined by key; Spark
+    """One row for each line item; returned items are credits. Items whose part or supplier is unknown stay, with a null code, division or vendor. ``cost_key`` names a row by its columns. Dimensions are joined by key; Spark
     broadcasts those whose size it knows to be small and shuffles the others."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("cost_code"), F.col("p_name").alias("name"), F.col("p_type").alias("division"))
     region = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     vendor = read(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey"))
     zone = F.when(F.col("n_regionkey").isin(0, 1), "EAST").when(F.col("n_regionkey").isin(2, 3), "WEST").otherwise("SHARED")
     vendor = vendor.select("s_suppkey", F.col("s_name").alias("vendor"), zone.alias("zone"))
-    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(vendor, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(vendor, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     cents = to_cents(F.col("l_extendedprice"))
     date = F.col("l_shipdate").cast("date")
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"), date.cast("string"))
@@ -64,7 +64,7 @@ costs AS (
     CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents,
     CASE WHEN n_regionkey IN (0, 1) THEN 'EAST' WHEN n_regionkey IN (2, 3) THEN 'WEST' ELSE 'SHARED' END AS zone,
     l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, l_orderkey
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN (supplier JOIN nation ON s_nationkey = n_nationkey) ON l_suppkey = s_suppkey),
 budgets AS (
   SELECT p_partkey AS budget_id, p_brand AS budget_code, p_type AS division, p_name AS description, substr(p_type, 1, 1) AS cost_type,
     CAST(round(p_retailprice * 100) AS BIGINT) * 30 AS current_budget_cents, CASE WHEN p_size > 10 THEN CAST(round(p_retailprice * 100) AS BIGINT) * 20 ELSE 0 END AS committed_cents,
