@@ -323,6 +323,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         renamed = other.select(F.col("doc_id").alias("other_id"), F.col("content").alias("other_content"))
         return renamed, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("content") == F.col("other_content"))
 
-    kept = rows.join(*same(gone), "left_anti").select("row")
+    kept = rows.join(*same(gone.hint("merge")), "left_anti").select("row")
     one = rows.join(*same(repeated), "left_semi").groupBy("id", "content").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return kept.unionByName(one).select(*unpacked(docs))

@@ -155,7 +155,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", ledg
     """``docs`` with every span in ``text_col`` replaced by ``mask`` (overlapping spans by one); columns and rows stay as they are."""
     ledger = (ledger or Ledger(docs.sparkSession)).update(docs, text_col, rules)
     holes = table(ledger.holes(rules), "holes")
-    met = packed(docs, blob=blob_of(named(text_col))).join(holes, "blob", "left").select("row", "holes")
+    met = packed(docs, blob=blob_of(named(text_col))).join(holes.hint("merge"), "blob", "left").select("row", "holes")  # holes grow with the texts: the same plan at every size
     text = F.col("row").getField(text_col).cast("string")
     starts = F.concat(F.array(F.lit(0)), F.col("holes")["upto"])
     stops = F.concat(F.col("holes")["from"], F.array(F.octet_length(text)))
