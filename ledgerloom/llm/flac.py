@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import named, ragged, slices
 
 #: Samples in a frame, sample rate, bytes handled at once, padding unit of payloads.
-BLOCK, RATE, SLICE_BYTES, UNIT = 1024, 8000, 1 << 20, 64
+BLOCK, RATE, SLICE_BYTES, UNIT = 1024, 8000, 2 << 20, 64
 #: Frames handled at once.
-RUN = 1024
+RUN = 4096
 #: Fixed values of the format: predictor coefficients by order, bits a sample by code, block sizes by code.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
