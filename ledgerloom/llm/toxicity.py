@@ -9,8 +9,8 @@ How many standard errors is chosen from ``SURE`` by cross-validation in ``FOLDS`
 training rows alone: the least balanced error, then the least balanced log loss.
 
 The fit takes a bounded sample of labelled rows: up to ``CAP`` documents of each
-class, of every length. Tasks count documents by fold, bucket and class; the driver gets these sums (at most
-``FOLDS`` * 2**``BITS`` rows) and then the sample's counts of the sure features only, never texts.
+class, of every length. Spark counts documents by fold, bucket and class and tests which features are sure; the driver gets
+the sums of those (at most 2**``BITS`` rows) and then the sample's counts of them, never texts.
 Scores cover every row and whole texts; null and empty texts get the intercept's
 score. With one class or none in training every score is the class share (0.0 without
 labels). Repeated rows are scored alike; equal inputs give equal models however they are
@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ EPOCHS, RATE, PENALTY, SMOOTH = 60, 0.05, 2e-4, 4.0
 #: Strengths to choose from, and parts of the cross-validation.
 SURE, FOLDS = (2.0, 3.0, 4.0), 3
 SLICE_BYTES = 2 << 20
+#: Features in one step of a sum on the driver.
+BLOCK = 1 << 16
 
 
 def words_of(text: str | None) -> set[str]:
@@ -47,20 +50,31 @@ def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(ngrams(sorted(words_of(text)), ORDERS, BITS)[0], return_counts=True)
 
 
-def class_counts(sample: DataFrame) -> np.ndarray:
-    """Documents [fold, class, bucket] that have a bucket, summed by Spark."""
+def sure_counts(sample: DataFrame, docs: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, in order, whose ratio is sure in the whole sample or without one fold, and their documents [fold, class, bucket].
+    Spark sums and tests them, so the driver gets the sure ones only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             got = [grams_of(t)[0] for t in part.column("text").to_pylist()]
             group = part.column("fold").to_numpy() * 2 + part.column("y").to_numpy()
             both, n = np.unique(np.repeat(group.astype(np.int64), list(map(len, got))) << BITS | np.concatenate([*got, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], ["key", "n"])
-
-    found = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").cast("int").alias("n")).toArrow()
-    out = np.zeros(FOLDS * 2 << BITS, np.int32)
-    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(FOLDS, 2, 1 << BITS)
+            yield pa.RecordBatch.from_arrays([pa.array((both & (1 << BITS) - 1).astype(np.int32)), pa.array((both >> BITS).astype(np.int32)), pa.array(n)], ["bucket", "part", "n"])
+
+    names = [[f"n{k}{c}" for c in (0, 1)] for k in range(FOLDS)]
+    sums = [F.sum(F.when(F.col("part") == k * 2 + c, F.col("n")).otherwise(0)).cast("int").alias(names[k][c]) for k in range(FOLDS) for c in (0, 1)]
+    tests = F.lit(False)
+    for left_out in (None, *range(FOLDS)):
+        used = [k for k in range(FOLDS) if k != left_out]
+        classes = docs[used].sum(axis=0)
+        if classes.all():
+            share = float(classes[1] / classes.sum())
+            toxic, other = (sum((F.col(names[k][c]) for k in used), F.lit(SMOOTH * p)) for c, p in ((1, share), (0, 1 - share)))
+            gap = F.abs(F.log(toxic / share) - F.log(other / (1 - share)))
+            tests |= gap > sure * F.sqrt(1 / toxic + 1 / other)
+    found = sample.mapInArrow(run, "bucket int, part int, n bigint").groupBy("bucket").agg(*sums).where(tests).toArrow().sort_by("bucket")
+    counts = np.array([found.column(n).to_numpy() for both in names for n in both]).reshape(FOLDS, 2, -1)
+    return found.column("bucket").to_numpy(), counts
 
 
 def ratios(counts: np.ndarray, docs: np.ndarray, sure: float) -> np.ndarray:
@@ -72,63 +86,69 @@ def ratios(counts: np.ndarray, docs: np.ndarray, sure: float) -> np.ndarray:
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - sure * np.sqrt(1 / toxic + 1 / other))
 
 
-def told_features(sample: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(y, fold, row, bucket, count) of the sample's documents in order of id, for the ``wanted`` buckets (a mask)."""
-    sent = sample.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+def told_features(sample: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(y, fold, row, number, count) of the sample's documents in order of id: ``number`` is a place in ``wanted``, buckets in order."""
+    sent = sample.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(sent.value).astype(bool)
+        number = np.full(1 << BITS, -1, np.int32)
+        number[sent.value] = np.arange(len(sent.value))
         for part in slices(batches, "text", SLICE_BYTES):
-            found = [(a[mask[a]], c[mask[a]]) for a, c in map(grams_of, part.column("text").to_pylist())]
-            lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), part.column("fold"), *lists], ["key", "y", "fold", "buckets", "counts"])
-
-    got = sample.mapInArrow(run, "key string, y int, fold int, buckets array<int>, counts array<int>").toArrow().sort_by("key")
-    lists = got.column("buckets").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = [got.column(c).combine_chunks().flatten().to_numpy() for c in ("buckets", "counts")]
-    return got.column("y").to_numpy().astype(np.float64), got.column("fold").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1].astype(np.float64)
-
-
-def regression(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight of each bucket (its ratio times its coefficient) and the intercept, both classes weighing the same."""
-    present = np.flatnonzero(ratio)
-    number = np.full(len(ratio), -1)
-    number[present] = np.arange(len(present))
-    told = number[bucket] >= 0
-    bucket, row = number[bucket[told]], row[told]
-    value, width = count[told] * ratio[present][bucket], len(present)
+            found = [(number[a], c) for a, c in map(grams_of, part.column("text").to_pylist())]
+            lists = [pa.array([x[n >= 0].astype(np.int32) for n, x in both], pa.list_(pa.int32())) for both in ([(n, n) for n, _ in found], found)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), part.column("fold"), *lists], ["key", "y", "fold", "numbers", "counts"])
+
+    got = sample.mapInArrow(run, "key string, y int, fold int, numbers array<int>, counts array<int>").toArrow()
+    order = pc.sort_indices(got.column("key"))
+    y, fold = (got.column(c).take(order).to_numpy() for c in ("y", "fold"))
+    sizes = pc.list_value_length(got.column("numbers")).take(order).to_numpy()
+    number, count = (got.column(c).take(order).combine_chunks().flatten().to_numpy() for c in ("numbers", "counts"))
+    return y.astype(np.float64), fold, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), number, count
+
+
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(at, at + BLOCK) for at in range(0, n, BLOCK))
+
+
+def summed(row: np.ndarray, number: np.ndarray, count: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Sum of count times weight for each of ``n`` documents, in blocks, so that no temporary is as long as the features."""
+    return sum((np.bincount(row[at], count[at] * w[number[at]], n) for at in blocks(len(row))), np.zeros(n))
+
+
+def regression(y: np.ndarray, used: np.ndarray, row: np.ndarray, number: np.ndarray, count: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each bucket (its ratio times its coefficient) and the intercept from the ``used`` documents, both classes weighing the same."""
+    width = len(ratio)
+    told = used[row] & (ratio != 0)[number]
+    row, number, count = row[told], number[told], count[told]
     w, b = np.zeros(width), 0.0
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    toxic = y[used].mean()
+    balance = used * np.where(y == 1, 0.5 / toxic, 0.5 / (1 - toxic)) / used.sum()
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, EPOCHS + 1):
-        z = np.bincount(row, value * w[bucket], len(y)) + b
+        z = summed(row, number, count, ratio * w, len(y)) + b
         slope = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * balance
-        g = np.bincount(bucket, value * slope[row], width) + PENALTY * w
+        g = ratio * sum((np.bincount(number[at], count[at] * slope[row[at]], width) for at in blocks(len(row))), np.zeros(width)) + PENALTY * w
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w = w - rate * m / (np.sqrt(v) + 1e-8)
         b = b - rate * mb / (np.sqrt(vb) + 1e-8)
-    out = np.zeros(len(ratio))
-    out[present] = w * ratio[present]
-    return out, float(b)
+    return w * ratio, float(b)
 
 
-def validated(counts: np.ndarray, docs: np.ndarray, y: np.ndarray, fold: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> float:
+def validated(counts: np.ndarray, docs: np.ndarray, y: np.ndarray, fold: np.ndarray, row: np.ndarray, number: np.ndarray, count: np.ndarray) -> float:
     """The strength of ``SURE`` with the least balanced error on the folds left out."""
     results = []
     for sure in SURE:
         error = loss = 0.0
         for k in range(FOLDS):
-            out, some = fold == k, fold[row] != k
+            out = fold == k
             rest = docs.sum(axis=0) - docs[k]
             if not rest.all() or not out.any():
                 continue
-            place = np.cumsum(~out) - 1
-            w, b = regression(y[~out], place[row[some]], bucket[some], count[some], ratios(counts.sum(axis=0) - counts[k], rest, sure))
-            z = (np.bincount(row, count * w[bucket], len(y)) + b)[out]
+            w, b = regression(y, ~out, row, number, count, ratios(counts.sum(axis=0) - counts[k], rest, sure))
+            z = (summed(row, number, count, w, len(y)) + b)[out]
             weight = np.where(y[out] == 1, 0.5 / max(docs[:, 1].sum(), 1), 0.5 / max(docs[:, 0].sum(), 1))
             error += ((z >= 0) != (y[out] == 1)) @ weight
             loss += np.logaddexp(0, np.where(y[out] == 1, -z, z)) @ weight
@@ -146,15 +166,12 @@ def fit(sample: DataFrame) -> dict:
     if not classes.all():
         share = classes[1] / max(classes.sum(), 1)
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log((share + 1e-6) / (1 - share + 1e-6))), "sure": None}
-    counts = class_counts(keyed)
-    wanted = ratios(counts.sum(axis=0), classes, min(SURE)) != 0
-    for k in range(FOLDS):
-        if (classes - docs[k]).all():
-            wanted |= ratios(counts.sum(axis=0) - counts[k], classes - docs[k], min(SURE)) != 0
-    y, fold, row, bucket, count = told_features(keyed, wanted)
-    sure = validated(counts, docs, y, fold, row, bucket, count)
-    weights, bias = regression(y, row, bucket, count, ratios(counts.sum(axis=0), classes, sure))
-    return {"weights": weights.astype(np.float32), "bias": bias, "sure": sure}
+    wanted, counts = sure_counts(keyed, docs, min(SURE))
+    y, fold, row, number, count = told_features(keyed, wanted)
+    sure = validated(counts, docs, y, fold, row, number, count)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[wanted], bias = regression(y, np.ones(len(y), bool), row, number, count, ratios(counts.sum(axis=0), classes, sure))
+    return {"weights": weights, "bias": bias, "sure": sure}
 
 
 def scorer(model: dict) -> Callable[[list[str | None]], np.ndarray]:
