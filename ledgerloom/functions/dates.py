@@ -48,3 +48,10 @@ def elapsed(start: Column, finish: Column, at: Column) -> Column:
     span = F.datediff(finish, start)
     part = F.try_divide(F.datediff(at, start).cast("double"), span.cast("double"))
     return F.when(at < start, 0.0).when(at >= finish, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(part, F.lit(1.0)))))
+
+
+def week_share(week: Column, month: Column) -> Column:
+    """Share of the seven days from ``week`` that lie in the month of ``month``."""
+    first = F.greatest(week, F.trunc(month, "month"))
+    last = F.least(F.date_add(week, 6), F.last_day(month))
+    return F.greatest(F.lit(0), F.datediff(last, first) + 1) / 7.0

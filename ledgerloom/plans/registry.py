@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import controls, costs, forecasts, functions, ledger, mappings, phases, schedules, streams
+from . import bookkeeping, controls, costs, forecasts, functions, ledger, mappings, phases, schedules, streams
 
-MODULES = (costs, forecasts, schedules, mappings, functions, streams, ledger, controls, phases)
+MODULES = (costs, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
