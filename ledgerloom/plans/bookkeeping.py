@@ -42,11 +42,11 @@ def contract_unallocated(spark: SparkSession, sf: str) -> DataFrame:
     return bookkeeping.unallocated(tables.breakdown(spark, sf), _allocations(spark, sf).where("zone = 'EAST'"))
 
 
-@query(f"""{WITH}v AS (SELECT division, CAST(sum(abs(amount_cents)) AS BIGINT) AS e, CAST(sum(amount_cents) AS BIGINT) AS s FROM costs WHERE zone = 'SHARED' AND quantity > 40 GROUP BY division)
+@query(f"""{WITH}v AS (SELECT division, CAST(sum(abs(amount_cents)) AS BIGINT) AS e, CAST(sum(amount_cents) AS BIGINT) AS s FROM costs WHERE division > 'M' GROUP BY division)
 SELECT division, sov_cents, coalesce(e, 0) AS expected_cents, coalesce(s, 0) AS spent_cents, coalesce(e - s, 0) AS variance_cents, coalesce(round((e - s) * 100.0::DOUBLE / e, 6), 0.0) AS variance_pct,
   CASE WHEN e > s THEN 'under' ELSE 'on_track' END AS status FROM breakdown LEFT JOIN v USING (division)""")
 def schedule_variance_by_line(spark: SparkSession, sf: str) -> DataFrame:
-    some = tables.costs(spark, sf).where("zone = 'SHARED' AND quantity > 40").groupBy("division").agg(F.sum(F.abs("amount_cents")).alias("expected_cents"), F.sum("amount_cents").alias("spent_cents"))
+    some = tables.costs(spark, sf).where("division > 'M'").groupBy("division").agg(F.sum(F.abs("amount_cents")).alias("expected_cents"), F.sum("amount_cents").alias("spent_cents"))
     gap = F.col("expected_cents") - F.col("spent_cents")
     known = some.select("*", gap.alias("variance_cents"), F.round(F.try_divide(gap * 100.0, F.col("expected_cents")), 6).alias("variance_pct"), F.when(gap > 0, "under").otherwise("on_track").alias("status"))
     return bookkeeping.with_schedule_variance(tables.breakdown(spark, sf).select("division", "sov_cents"), known)
