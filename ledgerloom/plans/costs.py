@@ -170,17 +170,21 @@ def duplicates_excluded(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("division").agg(F.count_if("excluded").alias("n_excluded"), F.coalesce(F.sum(F.when(~F.col("excluded"), F.col("amount_cents"))), F.lit(0)).alias("kept_cents"))
 
 
-@query(f"""{WITH}r AS (SELECT l_suppkey, l_partkey, abs(amount_cents) AS size, amount_cents < 0 AS credit, date, cost_key,
-  row_number() OVER (PARTITION BY l_suppkey, l_partkey, abs(amount_cents), amount_cents < 0 ORDER BY date, cost_key) AS k FROM costs WHERE amount_cents <> 0)
-SELECT a.l_suppkey, a.l_partkey, a.size, a.cost_key AS charge_id, a.date AS charge_date, b.cost_key AS credit_id, b.date AS credit_date, CAST(abs(a.date - b.date) AS INTEGER) AS gap_days
-FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey AND a.size = b.size AND a.k = b.k AND NOT a.credit AND b.credit WHERE abs(a.date - b.date) <= 400""")
+@query(f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}r AS (SELECT l_suppkey, abs(amount_cents) // 100000 AS size, amount_cents < 0 AS credit, date, cost_key,
+  row_number() OVER (PARTITION BY l_suppkey, abs(amount_cents) // 100000, amount_cents < 0 ORDER BY date, cost_key) AS k FROM costs WHERE amount_cents <> 0 AND date IS NOT NULL AND l_suppkey IS NOT NULL),
+s AS (SELECT l_suppkey, size, 1::BIGINT AS i, 1::BIGINT AS j, NULL::VARCHAR AS charge_id, NULL::DATE AS charge_date, NULL::VARCHAR AS credit_id, NULL::DATE AS credit_date FROM r GROUP BY l_suppkey, size
+  UNION ALL SELECT s.l_suppkey, s.size, s.i + CASE WHEN c.date - p.date < -30 THEN 0 ELSE 1 END, s.j + CASE WHEN c.date - p.date > 30 THEN 0 ELSE 1 END, CASE WHEN abs(c.date - p.date) <= 30 THEN p.cost_key END, p.date, c.cost_key, c.date
+  FROM s JOIN r p ON p.l_suppkey = s.l_suppkey AND p.size = s.size AND p.k = s.i AND NOT p.credit JOIN r c ON c.l_suppkey = s.l_suppkey AND c.size = s.size AND c.k = s.j AND c.credit)
+SELECT l_suppkey, size, charge_id, charge_date, credit_id, credit_date, CAST(abs(charge_date - credit_date) AS INTEGER) AS gap_days FROM s WHERE charge_id IS NOT NULL""")
 def reversals(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.reversals(tables.costs(spark, sf), ["l_suppkey", "l_partkey"], days=400)
+    """Charges and credits of a supplier in the same thousand, within 30 days."""
+    return dedupe.reversals(tables.costs(spark, sf), ["l_suppkey"], days=30, step=100_000)
 
 
 @query()
 def duplicates_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.fuzzy_pairs(tables.costs(spark, sf), block=["l_suppkey"])
+    costs = tables.costs(spark, sf)
+    return dedupe.fuzzy_pairs(costs, known=dedupe.exact(costs, KEYS))
 
 
 @query(f"""{WITH[:-2]} SELECT date_trunc('week', date)::DATE AS week, CAST(isoyear(date_trunc('week', date)) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(date_trunc('week', date)) AS VARCHAR), 2, '0') AS label,

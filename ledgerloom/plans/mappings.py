@@ -76,7 +76,7 @@ def suggestions_with_text(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fuzzy_division(spark: SparkSession, sf: str) -> DataFrame:
     """The division whose name is most like each part name."""
-    choices = tables.breakdown(spark, sf).select("division").withColumn("place", F.ascii("division"))
+    choices = tables.breakdown(spark, sf).select(F.lower("division").alias("division")).withColumn("place", F.ascii("division"))
     return fuzzy.best_match(tables.budgets(spark, sf), "description", choices, "division", fuzzy.token_set_ratio, 20.0, "place")
 
 

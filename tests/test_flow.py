@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import dedupe
 from ledgerloom.plans import registry
 from ledgerloom.sources import readers, sinks, tables
 from ledgerloom.streaming import feeds
@@ -57,7 +58,6 @@ def test_filters_reach_the_scan(spark, sf):
 
 def test_reversal_pairs(spark):
     rows = spark.createDataFrame([("a", "v", "2024-01-01", 100), ("b", "v", "2024-01-05", -100), ("c", "v", "2024-03-01", 100), ("d", "v", "2024-01-02", -50)], "cost_key string, vendor string, date string, amount_cents bigint").withColumn("date", F.col("date").cast("date"))
-    from ledgerloom.operators import dedupe
 
     assert [(r.charge_id, r.credit_id) for r in dedupe.reversals(rows, ["vendor"]).collect()] == [("a", "b")]
 
@@ -68,3 +68,48 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert duckdb is not None
+
+
+def test_reversals_take_the_earliest_open_row(spark):
+    """Against plain pairing by position: an early charge without a partner in the window doesn't cost later ones theirs."""
+    import datetime
+    import random
+
+    random.seed(3)
+    rows = [(random.choice("uvw"), random.choice((-5, 5)), datetime.date(2024, 1, 1) + datetime.timedelta(random.randrange(400)), k) for k in range(300)]
+    want = []
+    for vendor in "uvw":
+        plus, minus = (sorted((d, k) for v, a, d, k in rows if v == vendor and a == size) for size in (5, -5))
+        while plus and minus:
+            gap = (minus[0][0] - plus[0][0]).days
+            if abs(gap) <= 14:
+                want.append((plus.pop(0)[1], minus.pop(0)[1]))
+            else:
+                (plus if gap > 0 else minus).pop(0)
+    got = dedupe.reversals(spark.createDataFrame(rows, "vendor string, amount_cents bigint, date date, cost_key int"), ["vendor"])
+    assert want and sorted((r.charge_id, r.credit_id) for r in got.collect()) == sorted(want)
+
+
+def test_fuzzy_pairs_meet_other_vendors(spark):
+    """Against all pairs in plain Python: unequal vendors, rows without date or vendor, and rows known as duplicates."""
+    import datetime
+    import random
+
+    from ledgerloom.operators import fuzzy
+
+    random.seed(4)
+    rows = [(k, random.choice(["Northside Glazing", "Northside Glazng", "NORTHSIDE GLAZING", "Quarry Supplies", "", None]), random.choice([None, *[datetime.date(2024, 3, d) for d in range(1, 29)]]), random.choice([0, 1000000, 1003000, 1009000, -50]), random.choice(["panes of glass", "glass panes", "gravel"])) for k in range(90)]
+    known = [3, 5, 8]
+    want = {}
+    for i, v, d, a, n in rows:
+        for j, w, e, b, m in rows:
+            if i < j and v and w and i not in known and j not in known and round(a / 10000) == round(b / 10000):
+                close = 0.5 if d is None or e is None else 1 - abs((d - e).days) / 7
+                off = abs(a - b) / max(abs(a), abs(b), 1)
+                alike = fuzzy.similarity(v.lower(), w.lower())
+                score = alike / 100 * 0.3 + (1 - off) * 0.3 + close * 0.2 + fuzzy.similarity(n, m) / 100 * 0.2
+                if close >= 0 and off <= 0.01 and alike >= 90 and score >= 0.7:
+                    want[i, j] = round(score, 9)
+    costs = spark.createDataFrame(rows, "cost_key int, vendor string, date date, amount_cents bigint, name string")
+    got = dedupe.fuzzy_pairs(costs, known=spark.createDataFrame([(k,) for k in known], "cost_key int"))
+    assert want and {(r.id_a, r.id_b): round(r.score, 9) for r in got.collect()} == want
