@@ -69,6 +69,16 @@ def candidates(costs: DataFrame, budgets: DataFrame) -> DataFrame:
     return by_code.unionByName(by_type).distinct()
 
 
+def filled(met: DataFrame, costs: DataFrame, budgets: DataFrame, order: str, least: int = 50) -> DataFrame:
+    """Candidates, and for each cost with fewer than ``least`` of them the next budgets by their place in ``order``, from 1: of the first twice as many as
+    are missing, those it hasn't met, until it has ``least``. The first ``2 * least`` budgets are all that is broadcast."""
+    have = costs.select("cost_key").join(met.groupBy("cost_key").agg(F.count(F.lit(1)).alias("_n")), "cost_key", "left").select("cost_key", (least - F.coalesce("_n", F.lit(0))).alias("_short"))
+    first = budgets.where(F.col(order) <= 2 * least).select("budget_code", order)
+    more = have.where("_short > 0").join(F.broadcast(first), F.col(order) <= 2 * F.col("_short")).join(met, ["cost_key", "budget_code"], "left_anti")
+    more = more.withColumn("_r", F.row_number().over(Window.partitionBy("cost_key").orderBy(order))).where("_r <= _short")
+    return met.unionByName(more.select("cost_key", "budget_code"))
+
+
 def top(scored: DataFrame, k: int = 3) -> DataFrame:
     """The k best suggestions of each cost of at least ``LEAST``: by score, then history, then code."""
     place = F.row_number().over(Window.partitionBy("cost_key").orderBy(F.desc("score"), F.desc("history_count"), "budget_code"))

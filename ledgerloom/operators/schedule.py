@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import elapsed
 from ..functions.money import safe_ratio
+from . import fuzzy
 
 
 def day(at: str) -> Column:
@@ -103,3 +104,13 @@ def prorated(amounts: DataFrame, key: str) -> DataFrame:
     week = Window.partitionBy(key, "week_start")
     most = F.row_number().over(week.orderBy(F.desc("days"), "month")) == 1
     return parts.withColumns({"_most": most, "_left": F.col("cents") - F.sum("part").over(week)}).withColumn("part", F.col("part") + F.when(F.col("_most"), F.col("_left")).otherwise(0)).groupBy(key, "month").agg(F.sum("part").alias("cents"))
+
+
+def matched_divisions(activities: DataFrame, divisions: DataFrame, cutoff: float = 50.0) -> DataFrame:
+    """Activities with the division (of a small list with the order ``place``) that is most like their name and work breakdown, and the score;
+    null and 0 below ``cutoff``. Letter case counts for nothing."""
+    asked = F.lower(F.trim(F.concat_ws(" ", "name", "wbs")))
+    listed = divisions.select(F.lower("division").alias("_told"), "place", F.col("division").alias("gmp_division"))
+    rows = activities.withColumn("_asked", asked)
+    best = fuzzy.best_match(rows, "_asked", listed, "_told", fuzzy.token_set_ratio, cutoff, "place").join(F.broadcast(listed.drop("place")), "_told")
+    return rows.join(best.select("_asked", "gmp_division", F.col("score").alias("match_score")), "_asked", "left").na.fill({"match_score": 0.0}).drop("_asked")

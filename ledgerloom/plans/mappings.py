@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fuzzy, mapping
@@ -61,16 +61,42 @@ def suggestions_by_code_and_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def _suggested(spark: SparkSession, sf: str, alike) -> DataFrame:
     costs, budgets = _codes(spark, sf)
-    met = mapping.candidates(costs, budgets).join(costs, "cost_key").join(budgets.withColumnsRenamed({"base_code": "bb", "cost_type": "bt"}), "budget_code")
+    return _ranked(mapping.candidates(costs, budgets), costs, budgets, alike)
+
+
+def _ranked(pairs: DataFrame, costs: DataFrame, budgets: DataFrame, alike, k: int = 3) -> DataFrame:
+    met = pairs.join(costs, "cost_key").join(budgets.withColumnsRenamed({"base_code": "bb", "cost_type": "bt"}), "budget_code")
     code = F.when((F.col("base_code") == F.col("bb")) & (F.col("bb") != ""), 1.0).otherwise(0.0)
     score = mapping.match_score(code, mapping.type_score(F.col("cost_type"), F.col("bt")), alike(F.col("name"), F.col("description")), F.lit(0.0), F.lit(1.0))
-    best = mapping.top(met.withColumn("score", score))
+    best = mapping.top(met.withColumn("score", score), k)
     return best.select("cost_key", "budget_code", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "band")
 
 
 @query()
 def suggestions_with_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _suggested(spark, sf, lambda a, b: fuzzy.token_set_ratio(F.lower(a), F.lower(b)) / 100)
+    """Costs with few candidates by code and type get the next budgets too, which their texts may lift."""
+    costs, budgets = _codes(spark, sf)
+    placed = budgets.withColumn("place", F.row_number().over(Window.orderBy("budget_code")))  # one row a budget code: a configured list
+    pairs = mapping.filled(mapping.candidates(costs, budgets), costs, placed, "place")
+    return _ranked(pairs, costs, budgets, lambda a, b: fuzzy.token_set_ratio(F.lower(a), F.lower(b)) / 100)
+
+
+#: The five best of all budget codes for the first cost, as DuckDB expressions.
+ONE_COST = f"""{WITH}c AS (SELECT vendor || '/' || cost_code AS cost_key, regexp_extract(cost_code, '([0-9])[0-9]*$', 1) AS base_code, substr(min(division), 1, 1) AS cost_type FROM costs WHERE vendor IS NOT NULL AND cost_code IS NOT NULL GROUP BY vendor, cost_code ORDER BY 1 LIMIT 1),
+b AS (SELECT budget_code, min(cost_type) AS bt, count(*) AS history_count, regexp_extract(budget_code, '([0-9])[0-9]*$', 1) AS bb FROM budgets GROUP BY budget_code),
+s AS (SELECT cost_key, budget_code, history_count, (CASE WHEN base_code = bb AND bb <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.4::DOUBLE + CASE WHEN cost_type = bt THEN 1.0::DOUBLE
+  WHEN (cost_type, bt) IN (('L', 'S'), ('S', 'L')) THEN 0.5::DOUBLE WHEN (cost_type, bt) IN (('M', 'S'), ('S', 'M')) THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END * 0.2::DOUBLE + 1.0::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE * 0.1::DOUBLE) * 1.0::DOUBLE AS score FROM c, b),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, history_count DESC, budget_code) AS rank FROM s WHERE score >= 0.4),
+best AS (SELECT cost_key, budget_code, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM r WHERE rank <= 5)"""
+
+
+@query(f"{ONE_COST} SELECT * FROM best")
+def suggestions_for_one(spark: SparkSession, sf: str) -> DataFrame:
+    """One cost against every budget code, the five best; texts count as alike."""
+    costs, budgets = _codes(spark, sf)
+    one = costs.where(F.col("vendor").isNotNull() & F.col("base_code").isNotNull()).orderBy("cost_key").limit(1)
+    pairs = one.select("cost_key").crossJoin(budgets.select("budget_code"))  # one row against a list
+    return _ranked(pairs, one, budgets, lambda a, b: F.lit(1.0), 5)
 
 
 @query()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +26,54 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
 
 
+def first_found(spark: SparkSession, folder: str, names: list[str]) -> DataFrame | None:
+    """The first of the files that exists, as ``csv``; none if none does."""
+    for name in names:
+        try:
+            return csv(spark, f"{folder}/{name}")
+        except AnalysisException as absent:
+            if absent.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return None
+
+
+def _sheet(content: bytes) -> list[list[str | None]]:
+    """The first sheet's rows as texts; empty cells are null."""
+    parts = zipfile.ZipFile(io.BytesIO(content))
+    name = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(t.text or "" for t in e.iter() if name(t) == "t")
+    shared = [text(e) for e in ElementTree.fromstring(parts.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in parts.namelist() else []
+    rows = []
+    for line in ElementTree.fromstring(parts.read("xl/worksheets/sheet1.xml")).iter():
+        if name(line) != "row":
+            continue
+        row: list[str | None] = []
+        for cell in line:
+            place = 0
+            for letter in re.match("[A-Z]*", cell.get("r", "")).group():
+                place = place * 26 + ord(letter) - 64
+            row += [None] * (max(place, len(row) + 1) - len(row))
+            value = next((e.text for e in cell if name(e) == "v"), None)
+            row[-1] = text(cell) if cell.get("t") == "inlineStr" else shared[int(value)] if cell.get("t") == "s" and value else value
+        rows.append(row)
+    return rows
+
+
+def contract_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """(gmp_id, division, amount_total_cents) of a workbook's first sheet, whose first row must name ``GMP`` and ``Amount Total``; ids count the rows
+    from 0. A workbook is one small file and is read by one task."""
+
+    def rows(content: bytes):
+        head, *body = _sheet(bytes(content)) or [[]]
+        if not {"GMP", "Amount Total"} <= set(head):
+            raise ValueError(f"the sheet must have the columns GMP and Amount Total, it has {head}")
+        at = [head.index(c) for c in ("GMP", "Amount Total")]
+        return [(k, *[row[i] if i < len(row) else None for i in at]) for k, row in enumerate(body)]
+
+    found = spark.read.format("binaryFile").load(path).select(F.explode(F.udf(rows, "array<struct<gmp_id bigint, division string, amount string>>")("content")).alias("r"))
+    return found.select("r.gmp_id", "r.division", money.parse_money(F.col("r.amount")).alias("amount_total_cents"))
+
+
 def aliased(raw: DataFrame, kind: str) -> DataFrame:
     """The known columns under their own names; absent ones are null."""
     have = set(raw.columns)

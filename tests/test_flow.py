@@ -113,3 +113,41 @@ def test_fuzzy_pairs_meet_other_vendors(spark):
     costs = spark.createDataFrame(rows, "cost_key int, vendor string, date date, amount_cents bigint, name string")
     got = dedupe.fuzzy_pairs(costs, known=spark.createDataFrame([(k,) for k in known], "cost_key int"))
     assert want and {(r.id_a, r.id_b): round(r.score, 9) for r in got.collect()} == want
+
+
+def test_workbook_and_first_found(spark, tmp_path):
+    import zipfile
+
+    def book(name, *rows):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/sharedStrings.xml", '<sst xmlns="x"><si><t>GMP</t></si><si><r><t>Amount </t></r><r><t>Total</t></r></si></sst>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="x"><sheetData>{"".join(f"<row>{r}</row>" for r in rows)}</sheetData></worksheet>')
+        return str(tmp_path / name)
+
+    head = '<c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c>'
+    path = book("a.xlsx", head, '<c r="A2" t="inlineStr"><is><t>Glass</t></is></c><c r="C2"><v>12.5</v></c>', '<c r="C3"><v>7</v></c>')
+    assert sorted(map(tuple, readers.contract_xlsx(spark, path).collect())) == [(0, "Glass", 1250), (1, None, 700)]
+    with pytest.raises(Exception, match="must have the columns"):
+        readers.contract_xlsx(spark, book("b.xlsx", '<c r="A1" t="s"><v>0</v></c>')).collect()
+    (tmp_path / "two.csv").write_text("a\n1\n")
+    assert readers.first_found(spark, str(tmp_path), ["one.csv", "two.csv"]).first().a == "1" and readers.first_found(spark, str(tmp_path), ["one.csv"]) is None
+
+
+def test_registers_and_fallback(spark):
+    from ledgerloom.operators import mapping, registers, schedule
+
+    cache = spark.createDataFrame([("a", False), ("b", False)], "cost_key string, stale boolean")
+    assert registers.fresh(registers.outdated(cache)).isEmpty()
+    assert [r.cost_key for r in registers.fresh(registers.outdated(cache, spark.createDataFrame([("a",), ("a",)], "cost_key string"))).collect()] == ["b"]
+    assert registers.exists(cache, F.col("cost_key") == "b") and not registers.exists(cache, F.col("cost_key") == "c")
+    lines = spark.createDataFrame([(1, "x", 0), (2, "x", 5), (3, "x", 5), (4, "y", None), (5, "z", 9)], "id int, k string, cents bigint")
+    got = registers.checked_lines(lines.where("k = 'z'"), lines, ["k"], "cents", "id")
+    assert [r.problem for r in got.orderBy("id").collect()] == ["not positive", None, "duplicate", "not positive", "duplicate"]
+    costs = spark.createDataFrame([("a",), ("b",), ("c",)], "cost_key string")
+    budgets = spark.createDataFrame([(f"n{k}", k) for k in range(1, 9)], "budget_code string, place int")
+    met = spark.createDataFrame([("a", "n1"), ("a", "n3"), ("b", "n7"), ("b", "n8"), ("b", "n6")], "cost_key string, budget_code string")
+    found = {k: sorted(r.budget_code for r in mapping.filled(met, costs, budgets, "place", 3).collect() if r.cost_key == k) for k in "abc"}
+    assert found == {"a": ["n1", "n2", "n3"], "b": ["n6", "n7", "n8"], "c": ["n1", "n2", "n3"]}
+    tasks = spark.createDataFrame([(1, "Concrete slab", None), (2, "Zzz", "qq"), (3, None, "roofing")], "id int, name string, wbs string")
+    names = spark.createDataFrame([("CONCRETE", 1), ("Roofing", 2)], "division string, place int")
+    assert [(r.gmp_division, r.match_score) for r in schedule.matched_divisions(tasks, names).orderBy("id").collect()] == [("CONCRETE", 100.0), (None, 0.0), ("Roofing", 100.0)]
