@@ -38,15 +38,15 @@ def new_lines(spark: SparkSession, sf: str) -> DataFrame:
 def _changes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     divisions = tables.breakdown(spark, sf).select("division")
     saved = divisions.where("division < 'M'").select("division", F.lit("pert").alias("method"), F.lit(0.9).alias("performance_factor"), F.lit(None).cast("string").alias("distribution"), F.lit("user").alias("created_by"))
-    return registers.settings(divisions, saved), divisions.where("division LIKE '%STEEL'").select("division", F.lit("evm").alias("new_method"))
+    return registers.settings(divisions, saved), divisions.where("division < 'F' OR division > 'ST'").select("division", F.lit("evm").alias("new_method"))
 
 
-@query(f"""{WITH[:-2]} SELECT division, CASE WHEN division < 'M' AND division NOT LIKE '%STEEL' THEN 'pert' ELSE 'evm' END AS method, CASE WHEN division < 'M' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS performance_factor,
+@query(f"""{WITH[:-2]} SELECT division, CASE WHEN division < 'M' AND NOT (division < 'F' OR division > 'ST') THEN 'pert' ELSE 'evm' END AS method, CASE WHEN division < 'M' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS performance_factor,
   'linear' AS distribution, CASE WHEN division < 'M' THEN 'user' ELSE 'system' END AS created_by FROM breakdown""")
 def forecast_settings(spark: SparkSession, sf: str) -> DataFrame:
     return registers.changed_methods(*_changes(spark, sf), by="user")[0]
 
 
-@query(f"""{WITH[:-2]} SELECT division, 'method_change' AS action, 'method' AS field, 'pert' AS old_value, 'evm' AS new_value, 'user' AS changed_by FROM breakdown WHERE division < 'M' AND division LIKE '%STEEL'""")
+@query(f"""{WITH[:-2]} SELECT division, 'method_change' AS action, 'method' AS field, 'pert' AS old_value, 'evm' AS new_value, 'user' AS changed_by FROM breakdown WHERE division < 'F'""")
 def forecast_settings_audit(spark: SparkSession, sf: str) -> DataFrame:
     return registers.changed_methods(*_changes(spark, sf), by="user")[1]
