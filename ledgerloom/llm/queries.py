@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, flac, minhash, mixing, quality, secrets, sharding, toxicity, urlfilter
+from . import ann, bpe, flac, minhash, mixing, quality, ranking, resampling, secrets, sharding, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draws(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.answers(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
+    "op11_warc": op11_warc,
+    "op12_resampling": op12_resampling,
+    "op13_ranking": op13_ranking,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,4 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op9_urls": urlfilter.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
+    "op12_resampling": resampling.ORACLE_SQL,
+    "op13_ranking": ranking.ORACLE_SQL,
 }
