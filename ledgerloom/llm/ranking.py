@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import named, ragged, release, slices, table
 
 #: Results for an item; documents of a lowest range; children of a range; postings of a block; items and terms searched at once; share searched first.
-K, LEAF, FANOUT, POSTINGS, ITEMS, TERMS, FIRST = 50, 16, 16, 1 << 20, 2048, 1 << 17, 64
+K, LEAF, FANOUT, POSTINGS, ITEMS, TERMS, FIRST = 50, 32, 16, 1 << 20, 2048, 1 << 17, 64
 SLICE_BYTES = 4 << 20
 #: Terms of a text in bytes of UTF-8, once A-Z are lower-cased (fixed value): bytes of characters beyond ASCII belong to terms.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -145,8 +145,9 @@ class MaxTree:
         """Exact scores of a lowest range's documents; ``wanted`` marks the item's terms."""
         first, last = leaf * LEAF, min(leaf * LEAF + LEAF, self.n_docs)
         at = self.starts[first : last + 1]
-        part = np.r_[0, np.cumsum(np.where(wanted[self.term[at[0] : at[-1]]], self.impact[at[0] : at[-1]], 0))]
-        return part[at[1:] - at[0]] - part[at[:-1] - at[0]]
+        part = np.zeros(at[-1] - at[0] + 1, np.int64)
+        np.cumsum(self.impact[at[0] : at[-1]] * wanted[self.term[at[0] : at[-1]]], out=part[1:])
+        return np.diff(part[at - at[0]])
 
 
 class Best:

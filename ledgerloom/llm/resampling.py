@@ -39,25 +39,36 @@ BINS = 4096
 RESULTS = ("n_words", "n_features", "weight", "score", "rank")
 
 
-def words_of(text: Column) -> Column:
+def pieces_of(text: Column) -> Column:
+    """The words of a text; a gap at either end leaves an empty piece there."""
     lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, GAPS, -1), lambda w: w != "")
+    return F.split(lower, GAPS, -1)
 
 
-def buckets_of(words: Column, run: int = RUN, buckets: int = BUCKETS) -> Column:
-    """The bucket of every run of 1 to ``run`` words, repeats included. Runs of n words extend those of n - 1 by the word that follows."""
-    runs, each = words, []
-    for n in range(1, run + 1):
-        if n > 1:
-            longer = F.greatest(F.size(words) - n + 1, F.lit(0))
-            runs = F.zip_with(F.slice(runs, F.lit(1), longer), F.slice(words, F.lit(n), longer), lambda a, b: F.concat(a, F.lit(" "), b))
-        each.append(F.transform(runs, lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int")))
-    return F.concat(*each)
+def trimmed(pieces: str) -> Column:
+    """Without empty pieces, which are at the ends only."""
+    first = (F.get(pieces, F.lit(0)) == "").cast("int")
+    last = ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return F.slice(pieces, first + 1, F.size(pieces) - first - last)
+
+
+def bucketed(rows: DataFrame, text: Column, run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with ``n_words`` and ``buckets``, the bucket of every run of 1 to ``run`` words of ``text``, repeats included. Runs of n words extend
+    those of n - 1 by the word that follows; each step is a projection of its own, so that none is computed twice."""
+    kept = rows.columns
+    rows = rows.withColumn("pieces", pieces_of(text)).withColumn("runs1", trimmed("pieces"))
+    for n in range(2, run + 1):
+        longer = F.greatest(F.size("runs1") - n + 1, F.lit(0))
+        rows = rows.withColumn(f"runs{n}", F.zip_with(F.slice(f"runs{n - 1}", F.lit(1), longer), F.slice("runs1", F.lit(n), longer), lambda a, b: F.concat(a, F.lit(" "), b)))
+    each = [F.transform(f"runs{n}", lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int")) for n in range(1, run + 1)]
+    return rows.select(*kept, F.size("runs1").cast("long").alias("n_words"), F.concat(*each).alias("buckets"))
 
 
 def totals(texts: DataFrame, text_col: str, name: str) -> DataFrame:
     """(bucket, name): how often features fall into each bucket; partial sums per task, so at most ``BUCKETS`` rows of each are shuffled."""
-    return texts.select(F.explode(buckets_of(words_of(named(text_col)))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+    rows = bucketed(texts.select(named(text_col).alias("text")), F.col("text"))
+    each = rows.select(F.explode_outer("buckets").alias("bucket"))  # a plain explode is filtered by size first, which would compute all arrays twice
+    return each.groupBy("bucket").agg(F.count(F.lit(1)).alias(name)).where(F.col("bucket").isNotNull())
 
 
 def gains(raw: DataFrame, target: DataFrame, text_col: str = "text") -> list[int]:
@@ -86,12 +97,12 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 def scored(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """``docs`` with n_words, n_features, weight and score. ``docs`` is read twice, and no text is shuffled."""
     gain = literal(gains(docs.select(named(text_col)), target.select(named(text_col)), text_col))
-    words = words_of(named(text_col))
-    parts = docs.select(F.struct(*[named(c) for c in docs.columns if c not in RESULTS]).alias("row"), named(id_col).alias("id"), words.alias("words"))
-    parts = parts.select("row", "id", F.size("words").cast("long").alias("n_words"), buckets_of(F.col("words")).alias("buckets"))
+    kept = [c for c in docs.columns if c not in RESULTS]
+    parts = docs.select(F.struct(*map(named, kept)).alias("row"), named(id_col).alias("id"), named(text_col).alias("text"))
+    parts = bucketed(parts, F.col("text"))
     weight = F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + F.element_at(gain, b + 1))
-    row = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in RESULTS]
-    return parts.select(*row, "n_words", F.size("buckets").cast("long").alias("n_features"), weight.alias("weight"), (weight + noise(F.col("id"), seed)).alias("score"))
+    parts = parts.select("row", "id", "n_words", F.size("buckets").cast("long").alias("n_features"), weight.alias("weight"))
+    return parts.select(*[F.col("row").getField(c).alias(c) for c in kept], "n_words", "n_features", "weight", (F.col("weight") + noise(F.col("id"), seed)).alias("score"))
 
 
 def cut(scores: DataFrame, wanted: int) -> int | None:
