@@ -237,13 +237,16 @@ def headers_of(head: bytes, what: str) -> tuple[str, dict[str, str]]:
     name = None
     for line in lines:
         if line[:1] in (" ", "\t") and name:
-            fields[name] += " " + line.strip()
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         name = name.strip().lower()
         if not colon or not name:
             raise Damaged(f"{what} header line without a name")
-        fields.setdefault(name, value.strip())
+        if name in fields:
+            name = None  # a repeated field: the first counts
+        else:
+            fields[name] = value.strip()
     return first, fields
 
 
