@@ -236,8 +236,9 @@ def headers_of(head: bytes, what: str) -> tuple[str, dict[str, str]]:
     fields: dict[str, str] = {}
     name = None
     for line in lines:
-        if line[:1] in (" ", "\t") and name:
-            fields[name] = f"{fields[name]} {line.strip()}".strip()
+        if line[:1] in (" ", "\t"):
+            if name:
+                fields[name] = f"{fields[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         name = name.strip().lower()
