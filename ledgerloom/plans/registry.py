@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bookkeeping, controls, costs, forecasts, functions, ledger, mappings, phases, registers, schedules, streams
+from . import bookkeeping, controls, costs, duplicates, forecasts, functions, ledger, mappings, phases, registers, schedules, streams
 
-MODULES = (costs, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers)
+MODULES = (costs, duplicates, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
