@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.money import safe_ratio
-from ..operators import dedupe, features, recon
+from ..operators import dedupe, features, quantiles, recon
 from ..sources import tables
 from ..sources.tables import SQL, east_sql
 from .base import registered
@@ -253,9 +253,11 @@ def training_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH[:-2]} SELECT division, CAST(round(quantile_cont(abs(amount_cents)::DOUBLE, 0.25)) AS BIGINT) AS q1, CAST(round(quantile_cont(abs(amount_cents)::DOUBLE, 0.5)) AS BIGINT) AS median,
   CAST(round(quantile_cont(abs(amount_cents)::DOUBLE, 0.75)) AS BIGINT) AS q3, min(amount_cents) AS least, max(amount_cents) AS most, CAST(round(stddev_samp(amount_cents)) AS BIGINT) AS sd FROM costs GROUP BY division""")
 def scaling_stats(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.percentile(F.abs("amount_cents"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = tables.costs(spark, sf).groupBy("division").agg(q.alias("q"), F.min("amount_cents").alias("least"), F.max("amount_cents").alias("most"), F.round(F.stddev_samp("amount_cents")).cast("long").alias("sd"))
-    return rows.select("division", *[F.round(F.get("q", F.lit(k))).cast("long").alias(n) for k, n in enumerate(("q1", "median", "q3"))], "least", "most", "sd")
+    costs = tables.costs(spark, sf)
+    rest = costs.groupBy("division").agg(F.min("amount_cents").alias("least"), F.max("amount_cents").alias("most"), F.round(F.stddev_samp("amount_cents")).cast("long").alias("sd"))
+    found = quantiles.exact(costs, ["division"], F.abs("amount_cents"), [0.25, 0.5, 0.75]).withColumnRenamed("division", "_division")
+    rows = rest.join(found, rest["division"].eqNullSafe(found["_division"]))
+    return rows.select("division", *[F.round(F.col("quantiles")[k]).cast("long").alias(n) for k, n in enumerate(("q1", "median", "q3"))], "least", "most", "sd")
 
 
 @query(f"""{WITH}{MONTHS}, i AS (SELECT division, row_number() OVER (PARTITION BY division ORDER BY month) AS x, cents FROM m)
