@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bookkeeping, controls, costs, duplicates, forecasts, functions, ledger, mappings, models, phases, registers, schedules, streams, sweeps
+from . import bookkeeping, controls, costs, duplicates, forecasts, functions, ledger, mappings, models, phases, registers, schedules, streams, sweeps, trees
 
-MODULES = (costs, duplicates, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers, models, sweeps)
+MODULES = (costs, duplicates, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers, models, sweeps, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -131,11 +131,3 @@ def allocations(spark: SparkSession, path: str | None) -> DataFrame:
     raw = csv(spark, path)
     share = lambda name: F.coalesce(column(raw, name).try_cast("double"), F.lit(0.5))
     return raw.select(column(raw, "code").alias("code"), F.coalesce(column(raw, "region"), F.lit("Both")).alias("region"), share("pct_west").alias("pct_west"), share("pct_east").alias("pct_east"), F.coalesce(column(raw, "confirmed").try_cast("boolean"), F.lit(False)).alias("confirmed"))
-
-
-def quality(costs: DataFrame) -> DataFrame:
-    """One row of counts and warnings about a table of costs."""
-    n = F.count(F.lit(1))
-    one = costs.agg(n.alias("n"), F.count_if(F.col("vendor").isNull()).alias("no_vendor"), F.count_if(F.col("amount_cents") == 0).alias("zero"), F.count_if(F.col("date").isNull()).alias("no_date"))
-    over = lambda c, limit, word: F.when(F.col(c) > F.col("n") * limit, F.lit(word))
-    return one.withColumn("warnings", F.array_compact(F.array(over("no_vendor", 0.05, "vendors"), over("zero", 0.10, "zero amounts"), over("no_date", 0.02, "dates"))))

@@ -1,8 +1,8 @@
-"""Exports and table writes: CSV, JSON, replace, upsert with audit, snapshots, predicate updates."""
+"""Exports and table writes: CSV, JSON, upsert with audit, predicate updates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,6 @@ def as_json(frame: DataFrame) -> DataFrame:
     return clean.select(F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def replace(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").parquet(path)
-
-
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The merged table, and an audit of changed rows (keys, old_value, new_value as JSON). Of several new rows of a key the one with the largest values, in the order of the columns, counts."""
     new = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in old.columns if c not in keys])).alias("_v")).select(*keys, "_v.*")
@@ -32,10 +28,5 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame
     return merged, audit.select(*keys, "old_value", "new_value")
 
 
-def current(snapshots: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key's newest snapshot; older ones stay in the table, superseded."""
-    return snapshots.withColumn("is_current", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) == 1)
-
-
 def updated(frame: DataFrame, where: Column, **values: Column) -> DataFrame:
     return frame.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})

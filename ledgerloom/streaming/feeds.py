@@ -1,4 +1,4 @@
-"""Structured Streaming over feeds of events: windows with watermarks, duplicates, running trust."""
+"""Structured Streaming over feeds of events: windows with watermarks, sessions, duplicates."""
 
 from __future__ import annotations
 
@@ -41,17 +41,6 @@ def without_duplicates(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def running_trust(events: DataFrame, accepted: list[str]) -> DataFrame:
-    """Accepted and overridden choices of each user so far; on a stream in update mode."""
-    ok = F.col("event_type").isin(*accepted)
-    return events.groupBy("user_id").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("overridden"))
-
-
 def collected(frame: DataFrame, checkpoint: str, out: str, mode: str = "append"):
     """Run what is there now to Parquet and end: ``availableNow``."""
     return frame.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode(mode).trigger(availableNow=True).start()
-
-
-def recomputed(frame: DataFrame, checkpoint: str, affected: str, recompute):
-    """``recompute(keys, batch_id)`` for the distinct ``affected`` keys of every micro-batch."""
-    return frame.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, k: recompute(batch.select(affected).distinct(), k)).trigger(availableNow=True).start()
