@@ -324,5 +324,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return renamed, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("content") == F.col("other_content"))
 
     kept = rows.join(*same(gone.hint("merge")), "left_anti").select("row")
-    one = rows.join(*same(repeated), "left_semi").groupBy("id", "content").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    whole = F.to_json("row") if "map<" in docs.schema.simpleString() else F.col("row")  # maps can't be hashed
+    one = rows.join(*same(repeated), "left_semi").groupBy("id", "content").agg(F.min_by("row", F.xxhash64(whole)).alias("row")).select("row")
     return kept.unionByName(one).select(*unpacked(docs))

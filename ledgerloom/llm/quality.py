@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, slices
-from .subwords import WordMemo, ngrams, training_sample, word_hashes
+from .subwords import LONG, WordMemo, in_pieces, ngrams, training_sample, word_hashes
 
 ORDERS, BITS, WIDTH = (2, 3, 4), 17, 8
 #: Most documents of a class in the training sample.
@@ -117,15 +117,29 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             bucket, owner = ngrams(words, ORDERS, BITS, whole=True)
             return np.stack([np.bincount(owner, weights[bucket], len(words)), np.bincount(owner, minlength=len(words)), hashes_of(words).view(np.float64)], axis=1)
 
+        def alone(text: str) -> float:
+            """A long text's mean: its words are figured in pieces, each with the last hash of the one before, and not remembered."""
+            words, total, many, last = words_of(text), 0.0, 0, np.zeros(0, np.uint64)
+            for rows in in_pieces(of, words):
+                hashes = np.concatenate([last, np.ascontiguousarray(rows[:, 2]).view(np.uint64)])
+                pairs, last = bigrams(hashes), hashes[-1:]
+                total, many = total + rows[:, 0].sum() + weights[pairs].sum(), many + rows[:, 1].sum() + len(pairs)
+            return total / many if many else 0.0
+
         memo = WordMemo(of, 3)
         for part in slices(batches, "text", SLICE_BYTES):
             memo.begin()
-            words = [words_of(t) for t in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            long = {k: alone(t) for k, t in enumerate(texts) if t and len(t) >= LONG}
+            words = [words_of(None if k in long else t) for k, t in enumerate(texts)]
             used = [np.fromiter(map(memo.__getitem__, w), np.int64, len(w)) for w in words]
             rows = memo.settle()
             hashes = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
             out = np.zeros(len(used))
             for k, ids in enumerate(used):
+                if k in long:
+                    out[k] = long[k]
+                    continue
                 pairs = bigrams(hashes[ids])
                 many = rows[ids, 1].sum() + len(pairs)
                 out[k] = (rows[ids, 0].sum() + weights[pairs].sum()) / many if many else 0.0

@@ -112,7 +112,8 @@ class Ledger:
         """(blob, spans): all spans of the current rule versions, in order; only blobs that have some."""
         order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
         rows = self.read().where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0))
-        keyed = F.transform(F.flatten(F.collect_list("spans")), lambda s: s.withField("place", order[s["kind"]]))
+        once = F.transform(F.collect_set(F.struct("rule", "spans")), lambda x: x["spans"])  # two updates at once may have scanned a pair twice, with equal spans
+        keyed = F.transform(F.flatten(once), lambda s: s.withField("place", order[s["kind"]]))
         return rows.groupBy("blob").agg(F.array_sort(keyed).alias("spans"))
 
     def holes(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -45,6 +45,15 @@ def word_hashes(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(codes + (place.astype(np.uint64) << np.uint64(32))), starts))
 
 
+#: Words whose n-grams are held at once; characters of a text from which on its words aren't kept in a memo.
+PIECE, LONG = 1 << 14, 1 << 20
+
+
+def in_pieces(of: Callable[[list[str]], np.ndarray], words: list[str]) -> list[np.ndarray]:
+    """Figures of many words, a piece at a time: n-grams take some hundred bytes a word, the figures a few."""
+    return [of(words[at : at + PIECE]) for at in range(0, len(words), PIECE)]
+
+
 class WordMemo(dict):
     """Numbers words by first use; ``of`` computes a row of figures for new ones. It starts anew once its words take ``most`` bytes."""
 
@@ -74,7 +83,7 @@ class WordMemo(dict):
         """Rows of all words; call it after the words of a slice are looked up."""
         if self.new:
             self.held += sum(map(len, self.new)) + self.ENTRY * len(self.new)
-            self.rows = np.concatenate([self.rows, self.of(self.new)])
+            self.rows = np.concatenate([self.rows, *in_pieces(self.of, self.new)])
             self.new = []
         return self.rows
 

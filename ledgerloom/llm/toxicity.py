@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .subwords import WordMemo, ngrams, training_sample
+from .subwords import LONG, WordMemo, in_pieces, ngrams, training_sample
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Most documents of a class in the training sample.
@@ -184,11 +184,18 @@ def scorer(model: dict) -> Callable[[list[str | None]], np.ndarray]:
 
     memo = WordMemo(of, 1)
 
+    def alone(text: str) -> float:
+        """A long text's sum: its words are many and mostly new, so they are figured in pieces and not remembered."""
+        words = list(words_of(text))
+        return np.sort(np.concatenate(in_pieces(of, words))[:, 0]).sum() if words else 0.0
+
     def scored(texts: list[str | None]) -> np.ndarray:
         memo.begin()
-        used = [np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+        long = {k: alone(t) for k, t in enumerate(texts) if t and len(t) >= LONG}
+        short = (words_of(None if k in long else t) for k, t in enumerate(texts))
+        used = [np.fromiter(map(memo.__getitem__, words), np.int64, len(words)) for words in short]
         rows = memo.settle()[:, 0]
-        z = np.array([np.sort(rows[u]).sum() for u in used]) + bias
+        z = np.array([long.get(k, 0.0) + np.sort(rows[u]).sum() for k, u in enumerate(used)]) + bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     return scored

@@ -13,7 +13,9 @@ template so far (a slot), the values of the next segment are sorted out:
 * labelled branches of one slot whose rates don't differ by the test merge into one, named ``a|b``
   by its first ``NAMES`` values. Branches without labels stay single.
 
-Segments past ``DEPTH`` fold into ``**``. A template's purity is its share of blocked
+The tree goes on until no slot has an open segment. A slot that holds a single url needs no level of its own: what follows is
+``*`` throughout, or the url's own segments if it has a label; so there are as many levels as two urls share segments, and one more. ``%``, ``|`` and ``*`` within
+segments are percent-encoded in templates, so no segment can pass for a merged branch or a wildcard. A template's purity is its share of blocked
 labels, smoothed by ``STRENGTH`` labels at ``PRIOR``; templates with a purity of ``REJECT`` or more are
 blocked, so templates without labels are allowed.
 
@@ -35,7 +37,7 @@ from .common import named, packed, table, unpacked
 
 #: The production rules.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
-DEPTH, RARE, ALIKE, NAMES, Z, STRENGTH, PRIOR, REJECT = 4, 3, 5, 3, 1.96, 2.0, 0.25, 0.5
+RARE, ALIKE, NAMES, Z, STRENGTH, PRIOR, REJECT = 3, 5, 3, 1.96, 2.0, 0.25, 0.5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,6 +57,13 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
+def escaped(segment: Column) -> Column:
+    """A segment as templates show it: the marks of merged branches and wildcards are encoded."""
+    for mark, code in (("%", "%25"), ("|", "%7C"), ("*", "%2A")):
+        segment = F.replace(segment, F.lit(mark), F.lit(code))
+    return segment
+
+
 def differ(b: str, n: str, c: str, m: str) -> str:
     """SQL: the rates b of n and c of m differ by more than Z standard errors (those of the common rate, smoothed by a label of each kind)."""
     common = f"(({b} + {c} + 1) / ({n} + {m} + 2.0))"
@@ -86,23 +95,32 @@ def branches(rows: DataFrame) -> DataFrame:
     grouped = table(grouped, "grouped")
     place = F.row_number().over(Window.partitionBy("host", "t", "group").orderBy("v"))
     first = grouped.withColumn("place", place).where(F.col("place") <= NAMES)
-    names = table(first.groupBy("host", "t", "group").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("branch")), "names")
+    names = table(first.groupBy("host", "t", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), escaped), "|").alias("branch")), "names")
     merged = grouped.join(names, ["host", "t", "group"]).select("host", "t", "v", "branch")
-    return merged.unionByName(fixed.where(~known).select("host", "t", "v", F.col("v").alias("branch")))
+    return merged.unionByName(fixed.where(~known).select("host", "t", "v", escaped(F.col("v")).alias("branch")))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (host, segments, label and more) with ``template``."""
-    rows = urls.withColumn("t", F.lit(""))
-    for depth in range(1, DEPTH + 1):
-        rows = table(rows.withColumn("v", F.get("segments", F.lit(depth - 1))), f"templates-{depth}")
-        ended = rows.where(F.col("v").isNull()).drop("v")
-        met = rows.where(F.col("v").isNotNull()).join(table(branches(rows), f"branches-{depth}"), ["host", "t", "v"], "left")
-        name = F.concat(F.lit("/"), F.coalesce("branch", F.lit("*")))
-        if depth == DEPTH:
-            name = F.when(F.size("segments") > DEPTH, F.concat(name, F.lit("/**"))).otherwise(name)
-        rows = ended.unionByName(met.withColumn("t", F.concat("t", name)).drop("v", "branch"))
-    return rows.withColumnRenamed("t", "template")
+    done, rows, depth = [], urls.withColumn("t", F.lit("")), 0
+    while True:
+        rows = table(rows.withColumn("v", F.get("segments", F.lit(depth))), f"templates-{depth}")
+        done.append(rows.where(F.col("v").isNull()).drop("v"))
+        rows = rows.where(F.col("v").isNotNull())
+        if rows.isEmpty():
+            break
+        single = rows.groupBy("host", "t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1)
+        met = table(rows.join(single, ["host", "t"], "left"), f"slots-{depth}")
+        own = F.array_join(F.transform(F.slice("segments", depth + 1, F.size("segments")), lambda s: F.concat(F.lit("/"), F.when(F.col("label").isNull(), "*").otherwise(escaped(s)))), "")
+        done.append(met.where(F.col("_n") == 1).withColumn("t", F.concat("t", own)).drop("v", "_n"))
+        rows = met.where(F.col("_n").isNull()).drop("_n")
+        rows = rows.join(table(branches(rows), f"branches-{depth}"), ["host", "t", "v"], "left")
+        rows = rows.withColumn("t", F.concat("t", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("v", "branch")
+        depth += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed("t", "template")
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES) -> DataFrame:
@@ -128,8 +146,13 @@ def verdicts(pages: DataFrame) -> DataFrame:
     return judge(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+#: Levels that the SQL spells out; no path of ``pages`` has more segments.
+LEVELS = 8
+
+
 def _oracle() -> str:
     """DuckDB SQL for ``verdicts`` over ``pages``."""
+    shown = lambda v: f"replace(replace(replace({v}, '%', '%25'), '|', '%7C'), '*', '%2A')"
     ordered = sorted(RULES, key=lambda r: (len(r), r), reverse=True)
     fits = []
     for rule in ordered:
@@ -137,8 +160,7 @@ def _oracle() -> str:
         fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}') THEN '{rule}'")
     said = " ".join(f"WHEN '{r}' THEN {int(v == 'block')}" for r, v in RULES.items())
     steps = []
-    for d in range(1, DEPTH + 1):
-        last = " || CASE WHEN len(segments) > %d THEN '/**' ELSE '' END" % DEPTH if d == DEPTH else ""
+    for d in range(1, LEVELS + 1):
         steps.append(f"""
 seen{d} AS (SELECT host, t, segments[{d}] AS v, count(*)::DOUBLE AS n, count(label)::DOUBLE AS labelled, coalesce(sum(label), 0)::DOUBLE AS blocked
   FROM rows{d - 1} WHERE len(segments) >= {d} GROUP BY ALL),
@@ -148,8 +170,8 @@ fixed{d} AS (SELECT * FROM rated{d} WHERE NOT (rare * 2 >= total OR n <= {RARE})
 lagged{d} AS (SELECT *, lag(blocked) OVER w AS b0, lag(labelled) OVER w AS n0 FROM fixed{d} WHERE labelled > 0 WINDOW w AS (PARTITION BY host, t ORDER BY blocked / labelled, labelled, v)),
 grouped{d} AS (SELECT *, sum(CASE WHEN n0 IS NULL OR {differ('blocked', 'labelled', 'b0', 'n0')} THEN 1 ELSE 0 END) OVER (PARTITION BY host, t ORDER BY blocked / labelled, labelled, v) AS grp FROM lagged{d}),
 named{d} AS (SELECT host, t, v, list(v) OVER (PARTITION BY host, t, grp ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_ FROM grouped{d}),
-branch{d} AS (SELECT host, t, v, array_to_string(all_[1:{NAMES}], '|') AS branch FROM named{d} UNION ALL SELECT host, t, v, v FROM fixed{d} WHERE labelled = 0),
-rows{d} AS (SELECT r.host, path, rule, label, segments, CASE WHEN len(segments) < {d} THEN r.t ELSE r.t || '/' || coalesce(branch, '*'){last} END AS t
+branch{d} AS (SELECT host, t, v, array_to_string(list_transform(all_[1:{NAMES}], lambda x: {shown('x')}), '|') AS branch FROM named{d} UNION ALL SELECT host, t, v, {shown('v')} FROM fixed{d} WHERE labelled = 0),
+rows{d} AS (SELECT r.host, path, rule, label, segments, CASE WHEN len(segments) < {d} THEN r.t ELSE r.t || '/' || coalesce(branch, '*') END AS t
   FROM rows{d - 1} r LEFT JOIN branch{d} b ON r.host = b.host AND r.t = b.t AND r.segments[{d}] = b.v)""")
     return f"""
 WITH parsed AS (
@@ -161,7 +183,7 @@ rows0 AS (SELECT *, CASE rule {said} END AS label, list_filter(string_split(path
 {','.join(steps).strip()},
 judged AS (SELECT host, path, rule, t AS template, CASE WHEN label = 1 THEN 'block' WHEN label = 0 THEN 'allow'
     WHEN (coalesce(sum(label) OVER w, 0) + {STRENGTH * PRIOR}) / (count(label) OVER w + {STRENGTH}) >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict
-  FROM rows{DEPTH} WINDOW w AS (PARTITION BY host, t))
+  FROM rows{LEVELS} WINDOW w AS (PARTITION BY host, t))
 SELECT page_id, host, path, rule, verdict, template FROM parsed JOIN judged USING (host, path)
 """
 
