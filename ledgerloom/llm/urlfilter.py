@@ -109,8 +109,8 @@ def templates(urls: DataFrame) -> DataFrame:
         rows = rows.where(F.col("v").isNotNull())
         if rows.isEmpty():
             break
-        single = rows.groupBy("host", "t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1)
-        met = table(rows.join(single, ["host", "t"], "left"), f"slots-{depth}")
+        single = rows.groupBy("host", "t").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")).where(F.col("_n") == 1)
+        met = table(rows.join(single, ["host", "t", "path"], "left"), f"slots-{depth}")  # by path too, so that a large slot is dealt over many tasks
         own = F.array_join(F.transform(F.slice("segments", depth + 1, F.size("segments")), lambda s: F.concat(F.lit("/"), F.when(F.col("label").isNull(), "*").otherwise(escaped(s)))), "")
         done.append(met.where(F.col("_n") == 1).withColumn("t", F.concat("t", own)).drop("v", "_n"))
         rows = met.where(F.col("_n").isNull()).drop("_n")
