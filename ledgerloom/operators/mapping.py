@@ -62,26 +62,82 @@ def trust(accepted: Column, overridden: Column) -> Column:
     return F.greatest(F.lit(0.3), (accepted + 1) / (accepted + overridden * 1.5 + 2))
 
 
-def candidates(costs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(cost_key, budget_code) with equal base code or equal cost type. Budgets are met by key; no cost meets all budgets."""
-    by_code = costs.join(budgets.select("budget_code", "base_code"), "base_code").select("cost_key", "budget_code")
-    by_type = costs.join(budgets.select("budget_code", "cost_type"), "cost_type").select("cost_key", "budget_code")
-    return by_code.unionByName(by_type).distinct()
-
-
-def filled(met: DataFrame, costs: DataFrame, budgets: DataFrame, order: str, least: int = 50) -> DataFrame:
-    """Candidates, and for each cost with fewer than ``least`` of them the next budgets by their place in ``order``, from 1: of the first twice as many as
+#: A cost's class: costs of one class meet the same budget codes with the same scores for code and type.
+CLASS = ["base_code", "cost_type"]
+
+
+def candidates(classes: DataFrame, budgets: DataFrame, fill: int = 0) -> DataFrame:
+    """(base_code, cost_type, budget_code) for each class: budget codes with the same base code or the same type, blanks not; classes with fewer than ``fill`` of them get the next codes in order until they have as many.
+    Classes are few whatever the number of costs, and only the first ``2 * fill`` codes are broadcast."""
+    some = lambda c: F.col(c) != ""
+    by_code = classes.join(budgets.where(some("base_code")).select("budget_code", "base_code"), "base_code").select(*CLASS, "budget_code")
+    by_type = classes.join(budgets.where(some("cost_type")).select("budget_code", "cost_type"), "cost_type").select(*CLASS, "budget_code")
+    met = by_code.unionByName(by_type).distinct()
+    if not fill:
+        return met
+    first = budgets.select("budget_code").orderBy("budget_code").limit(2 * fill)
+    first = first.agg(F.sort_array(F.collect_list("budget_code")).alias("_l")).select(F.posexplode("_l").alias("_place", "budget_code"))  # at most 2 * fill codes
+    return filled(met, classes, first.withColumn("_place", F.col("_place") + 1), "_place", fill, CLASS)
+
+
+def filled(met: DataFrame, costs: DataFrame, budgets: DataFrame, order: str, least: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """Candidates, and for each cost (or each of ``keys``) with fewer than ``least`` of them the next budgets by their place in ``order``, from 1: of the first twice as many as
     are missing, those it hasn't met, until it has ``least``. The first ``2 * least`` budgets are all that is broadcast."""
-    have = costs.select("cost_key").join(met.groupBy("cost_key").agg(F.count(F.lit(1)).alias("_n")), "cost_key", "left").select("cost_key", (least - F.coalesce("_n", F.lit(0))).alias("_short"))
+    keys = keys or ["cost_key"]
+    have = costs.select(*keys).join(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "left").select(*keys, (least - F.coalesce("_n", F.lit(0))).alias("_short"))
     first = budgets.where(F.col(order) <= 2 * least).select("budget_code", order)
-    more = have.where("_short > 0").join(F.broadcast(first), F.col(order) <= 2 * F.col("_short")).join(met, ["cost_key", "budget_code"], "left_anti")
-    more = more.withColumn("_r", F.row_number().over(Window.partitionBy("cost_key").orderBy(order))).where("_r <= _short")
-    return met.unionByName(more.select("cost_key", "budget_code"))
-
-
-def top(scored: DataFrame, k: int = 3) -> DataFrame:
-    """The k best suggestions of each cost of at least ``LEAST``: by score, then history, then code."""
-    place = F.row_number().over(Window.partitionBy("cost_key").orderBy(F.desc("score"), F.desc("history_count"), "budget_code"))
+    more = have.where("_short > 0").join(F.broadcast(first), F.col(order) <= 2 * F.col("_short")).join(met, [*keys, "budget_code"], "left_anti")
+    more = more.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r <= _short")
+    return met.unionByName(more.select(*keys, "budget_code"))
+
+
+def suggested(costs: DataFrame, budgets: DataFrame, past: DataFrame | None = None, k: int = 3, alike=None, flat: float = 0.5, fill: int = 0) -> DataFrame:
+    """(cost_key, budget_code, score, rank, band): the k best budget codes of every cost of (cost_key, vendor, name, base_code, cost_type), by score (at least ``LEAST``), then history, then code; nulls count as blanks.
+
+    Budgets: (budget_code, base_code, cost_type, description, history_count) and, if there, ``trust``, by which a code's scores are multiplied. ``past`` is what ``history`` gives: a code that was chosen for a cost's vendor
+    and name before gets the history score if it is a candidate. ``alike`` compares a name and a description (0 to 1); without it all texts count as ``flat`` alike.
+
+    Costs are not met with codes. Scores of code and type belong to a class, so without texts only a class's k best codes and the one code of a cost's history can be among its k best. With texts, each distinct name is compared with the
+    codes of its class that could still reach ``LEAST`` and the class's k-th code, if their texts were equal and the others' had nothing in common. What costs share is ranked once and joined back."""
+    blank = lambda *names: {c: F.coalesce(F.col(c), F.lit("")) for c in names}
+    budgets = budgets.withColumns(blank("base_code", "cost_type", "description"))
+    budgets = budgets if "trust" in budgets.columns else budgets.withColumn("trust", F.lit(1.0))
+    costs = costs.select("cost_key", *[c.alias(n) for n, c in blank("vendor", "name", *CLASS).items()])
+    if past is None:
+        costs = costs.withColumn("_past", F.lit(""))
+    else:
+        known = past.where((F.col("vendor") != "") | (F.col("prefix") != "")).withColumnRenamed("budget_code", "_past")
+        costs = costs.withColumns({"vendor": text.vendor(F.col("vendor")), "prefix": text.name_prefix(F.col("name"))}).join(known, ["vendor", "prefix"], "left").withColumns(blank("_past"))
+    keys = [*CLASS, *(["name"] if alike else []), "_past"]
+    variants = costs.select(*keys).distinct()
+
+    pairs = candidates(variants.select(*CLASS).distinct(), budgets, fill).join(budgets.withColumnsRenamed({"base_code": "_bb", "cost_type": "_bt"}), "budget_code")
+    code = F.when((F.col("base_code") == F.col("_bb")) & (F.col("_bb") != ""), 1.0).otherwise(0.0)
+    kind = type_score(F.col("cost_type"), F.col("_bt"))
+    pairs = pairs.withColumns({"_code": code, "_kind": kind})
+    scored = lambda alike, before: match_score(F.col("_code"), F.col("_kind"), alike, before, F.col("trust"))
+    order = (F.desc("history_count"), "budget_code")
+    if alike is None:
+        base = scored(F.lit(flat), F.lit(0.0))
+        placed = pairs.withColumn("_place", F.row_number().over(Window.partitionBy(*CLASS).orderBy(base.desc(), *order)))
+        own = variants.where(F.col("_past") != "").join(placed.where(F.col("_place") > k), CLASS).where(F.col("_past") == F.col("budget_code"))
+        met = variants.join(placed.where(F.col("_place") <= k), CLASS).unionByName(own).withColumn("_alike", F.lit(flat))
+    else:
+        low, high = scored(F.lit(0.0), F.lit(0.0)), scored(F.lit(1.0), F.lit(1.0))
+        placed = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*CLASS).orderBy(low.desc())))
+        floor = F.coalesce(F.min(F.when(F.col("_r") == k, low)).over(Window.partitionBy(*CLASS)), F.lit(0.0))
+        open_ = placed.withColumn("_floor", floor).where(high >= F.greatest(F.lit(LEAST), F.col("_floor")) - 1e-9).drop("_r", "_floor")
+        named = variants.select("name", *CLASS).distinct().join(open_, CLASS)
+        met = variants.join(named.withColumn("_alike", alike(F.col("name"), F.col("description"))), [*CLASS, "name"])
+    before = F.when(F.col("_past") == F.col("budget_code"), 1.0).otherwise(0.0)
+    best = top(met.withColumn("score", scored(F.col("_alike"), before)), k, keys)
+    listed = best.groupBy(*keys).agg(F.collect_list(F.struct("budget_code", "score", "rank", "band")).alias("_l"))  # at most k of each
+    return costs.join(listed, keys).select("cost_key", F.explode("_l").alias("_s")).select("cost_key", "_s.*")
+
+
+def top(scored: DataFrame, k: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """The k best suggestions of each cost (or of ``keys``) of at least ``LEAST``: by score, then history, then code."""
+    place = F.row_number().over(Window.partitionBy(*(keys or ["cost_key"])).orderBy(F.desc("score"), F.desc("history_count"), "budget_code"))
     return scored.where(F.col("score") >= LEAST).withColumn("rank", place).where(F.col("rank") <= k).withColumn("band", band(F.col("score")))
 
 

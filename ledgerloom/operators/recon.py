@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import east_of, safe_ratio
@@ -67,14 +67,18 @@ def tie_out(costs: DataFrame, by_division: DataFrame, tolerance: int = 1) -> Dat
     return one.crossJoin(F.broadcast(two)).withColumn("ties", F.abs(F.col("costs_cents") - F.col("divisions_cents")) <= tolerance)  # one row each
 
 
-def drilldown(costs: DataFrame, top: int = 10, records: int = 20) -> DataFrame:
-    """For each division its ``top`` cost codes by size, with sums, counts and the keys of their largest costs."""
-    from pyspark.sql import Window
-
-    sums = costs.groupBy("division", "cost_code").agg(F.sum("amount_cents").alias("total_cents"), F.count(F.lit(1)).alias("n_costs"))
+def drilldown(costs: DataFrame, top: int = 10, records: int = 20, key: Column | None = None) -> DataFrame:
+    """For each division its ``top`` cost codes by size, with sums, counts and the keys of their largest costs (ties: least ``key``, which is ``cost_key`` unless given).
+    Sums combine before their shuffle; then only costs of the listed codes are ranked, by amount, and Spark drops those beyond ``records`` before it shuffles them; keys are built for what is left."""
+    pair = ["division", "cost_code"]
+    key = F.col("cost_key") if key is None else key
+    sums = costs.groupBy(*pair).agg(F.sum("amount_cents").alias("total_cents"), F.count(F.lit(1)).alias("n_costs"))
     place = F.row_number().over(Window.partitionBy("division").orderBy(F.desc(F.abs("total_cents")), "cost_code"))
     codes = sums.withColumn("place", place).where(F.col("place") <= top)
-    row = F.row_number().over(Window.partitionBy("division", "cost_code").orderBy(F.desc(F.abs("amount_cents")), "cost_key"))
-    largest = costs.select("division", "cost_code", "amount_cents", "cost_key").withColumn("r", row).where(F.col("r") <= records)
-    listed = largest.groupBy("division", "cost_code").agg(F.array_sort(F.collect_list(F.struct("r", "cost_key"))).alias("l"))
-    return codes.join(listed, ["division", "cost_code"]).withColumn("records", F.array_join(F.transform("l", lambda x: x["cost_key"]), ",")).drop("l")
+    listed = costs.join(codes.select(*pair), pair, "left_semi").withColumn("_size", F.abs("amount_cents"))
+    largest = listed.withColumn("_r", F.rank().over(Window.partitionBy(*pair).orderBy(F.desc("_size")))).where(F.col("_r") <= records)
+    largest = largest.select(*pair, "_size", key.alias("_key"))
+    row = F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("_size"), "_key"))
+    kept = largest.withColumn("r", row).where(F.col("r") <= records)
+    keys = kept.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("r", "_key"))).alias("l"))
+    return codes.join(keys, pair).withColumn("records", F.array_join(F.transform("l", lambda x: x["_key"]), ",")).drop("l")

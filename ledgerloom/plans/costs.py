@@ -26,7 +26,7 @@ commitments AS (SELECT coms.*, {east_sql('committed_cents', 'coalesce(east_funde
 
 @query(f"{WITH}{ACTUALS} SELECT division, actual_cents, n_costs, east_cents, actual_cents - east_cents AS west_cents FROM actuals")
 def recon_actuals_by_division(spark: SparkSession, sf: str) -> DataFrame:
-    return recon.actuals(tables.costs(spark, sf), tables.breakdown(spark, sf), AS_OF)
+    return recon.actuals(tables.cost_rows(spark, sf, vendors=False), tables.breakdown(spark, sf), AS_OF)
 
 
 @query(f"{WITH}{ACTUALS} SELECT division, committed_cents, committed_east_cents, committed_cents - committed_east_cents AS committed_west_cents FROM commitments")
@@ -42,7 +42,7 @@ eac AS (SELECT *, CASE WHEN ae > 0 THEN greatest(ae, ae + greatest(0, ce - ae))
 SELECT division, gmp_cents, actual_cents, n_costs, committed_cents, e AS eac_east_cents, w AS eac_west_cents, e + w AS eac_total_cents, gmp_cents - (e + w) AS surplus_cents,
   round(CASE WHEN gmp_cents = 0 THEN 0 ELSE actual_cents::DOUBLE / gmp_cents END * 100, 6) AS pct_spent FROM eac""")
 def recon_full(spark: SparkSession, sf: str) -> DataFrame:
-    return recon.reconciled(tables.costs(spark, sf), tables.budgets(spark, sf), tables.breakdown(spark, sf), AS_OF)
+    return recon.reconciled(tables.cost_rows(spark, sf, vendors=False), tables.budgets(spark, sf), tables.breakdown(spark, sf), AS_OF)
 
 
 @query(f"{WITH}{ACTUALS} SELECT CAST((SELECT sum(amount_cents) FROM costs) AS BIGINT) AS costs_cents, CAST((SELECT sum(actual_cents) FROM actuals) AS BIGINT) AS divisions_cents, abs((SELECT sum(amount_cents) FROM costs) - (SELECT sum(actual_cents) FROM actuals)) <= 1 AS ties")
@@ -68,7 +68,7 @@ r AS (SELECT division, cost_code, cost_key, row_number() OVER (PARTITION BY divi
 l AS (SELECT division, cost_code, string_agg(cost_key, ',' ORDER BY r) AS records FROM r GROUP BY ALL)
 SELECT division, cost_code, total_cents, n_costs, CAST(place AS INTEGER) AS place, records FROM t JOIN l USING (division, cost_code)""")
 def recon_drilldown(spark: SparkSession, sf: str) -> DataFrame:
-    return recon.drilldown(tables.costs(spark, sf))
+    return recon.drilldown(tables.cost_rows(spark, sf, vendors=False), key=tables.cost_key())
 
 
 @query(f"""{WITH[:-2]} SELECT division, zone, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n_costs, grouping(division) * 2 + grouping(zone) AS level FROM costs GROUP BY ROLLUP (division, zone)""")

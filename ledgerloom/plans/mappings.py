@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import fuzzy, mapping
 from ..sources import tables
 from .costs import WITH
@@ -56,29 +57,61 @@ s AS (SELECT cost_key, budget_code, history_count, (CASE WHEN base_code = bb AND
 r AS (SELECT *, row_number() OVER (PARTITION BY cost_key ORDER BY score DESC, history_count DESC, budget_code) AS rank FROM s WHERE score >= 0.4)
 SELECT cost_key, budget_code, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM r WHERE rank <= 3""")
 def suggestions_by_code_and_type(spark: SparkSession, sf: str) -> DataFrame:
-    return _suggested(spark, sf, lambda a, b: F.lit(0.5))
+    return _shown(mapping.suggested(*_codes(spark, sf)))
 
 
-def _suggested(spark: SparkSession, sf: str, alike) -> DataFrame:
-    costs, budgets = _codes(spark, sf)
-    return _ranked(mapping.candidates(costs, budgets), costs, budgets, alike)
+def _shown(best: DataFrame) -> DataFrame:
+    return best.select("cost_key", "budget_code", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "band")
 
 
 def _ranked(pairs: DataFrame, costs: DataFrame, budgets: DataFrame, alike, k: int = 3) -> DataFrame:
     met = pairs.join(costs, "cost_key").join(budgets.withColumnsRenamed({"base_code": "bb", "cost_type": "bt"}), "budget_code")
     code = F.when((F.col("base_code") == F.col("bb")) & (F.col("bb") != ""), 1.0).otherwise(0.0)
     score = mapping.match_score(code, mapping.type_score(F.col("cost_type"), F.col("bt")), alike(F.col("name"), F.col("description")), F.lit(0.0), F.lit(1.0))
-    best = mapping.top(met.withColumn("score", score), k)
-    return best.select("cost_key", "budget_code", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "band")
+    return _shown(mapping.top(met.withColumn("score", score), k))
+
+
+def _costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cost as suggestions take it."""
+    rows = tables.cost_rows(spark, sf)
+    return rows.select(tables.cost_key().alias("cost_key"), "vendor", "name", F.regexp_extract("cost_code", "([0-9])[0-9]*$", 1).alias("base_code"), F.substring("division", 1, 1).alias("cost_type"), "cost_code", "date", "amount_cents", "quantity")
+
+
+KNOWN_BY = "1996-12-31"
+
+
+def _learned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Costs; budget codes with the trust in them (returned items of 40 and more overrule a code); choices known by a day, of which returned items are overrides."""
+    costs, budgets = _costs(spark, sf), _codes(spark, sf)[1]
+    over = (F.col("amount_cents") < 0) & (F.col("quantity") >= 40)
+    trusted = costs.groupBy(F.col("cost_code").alias("budget_code")).agg(F.count_if(~over).alias("_a"), F.count_if(over).alias("_o"))
+    trusted = trusted.select("budget_code", mapping.trust(F.col("_a"), F.col("_o")).alias("trust"))
+    past = costs.where(F.col("date") <= F.lit(KNOWN_BY).cast("date")).select("vendor", "name", F.col("cost_code").alias("budget_code"), (F.col("amount_cents") < 0).alias("was_override"), F.col("date").alias("created_at"))
+    return costs, budgets.join(trusted, "budget_code", "left").na.fill(1.0, ["trust"]), mapping.history(past)
+
+
+@query(f"""{WITH}k AS (SELECT *, coalesce(trim(regexp_replace(lower(vendor), '\\s+', ' ', 'g')), '') AS v, coalesce(trim(substr(lower(name), 1, 20)), '') AS prefix FROM costs),
+c AS (SELECT cost_key, v, prefix, coalesce(regexp_extract(cost_code, '([0-9])[0-9]*$', 1), '') AS base_code, coalesce(substr(division, 1, 1), '') AS cost_type FROM k),
+h AS (SELECT v, prefix, arg_min(cost_code, (was, -epoch(date), cost_code)) AS past FROM (SELECT *, amount_cents < 0 AS was FROM k WHERE date <= DATE '{KNOWN_BY}') WHERE v <> '' OR prefix <> '' GROUP BY ALL),
+t AS (SELECT cost_code AS budget_code, count(*) FILTER (amount_cents < 0 AND quantity >= 40) AS o, count(*) - o AS a FROM costs GROUP BY 1),
+b AS (SELECT budget_code, min(cost_type) AS bt, count(*) AS history_count, regexp_extract(budget_code, '([0-9])[0-9]*$', 1) AS bb FROM budgets GROUP BY budget_code),
+w AS (SELECT b.*, coalesce(greatest(0.3::DOUBLE, (a + 1) / (a + o * 1.5::DOUBLE + 2)), 1.0) AS trust FROM b LEFT JOIN t USING (budget_code)),
+s AS (SELECT cost_key, budget_code, history_count, (CASE WHEN base_code = bb AND bb <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.4::DOUBLE + CASE WHEN cost_type = '' OR bt = '' THEN 0.0::DOUBLE WHEN cost_type = bt THEN 1.0::DOUBLE
+  WHEN (cost_type, bt) IN (('L', 'S'), ('S', 'L')) THEN 0.5::DOUBLE WHEN (cost_type, bt) IN (('M', 'S'), ('S', 'M')) THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END * 0.2::DOUBLE + 0.8::DOUBLE * 0.3::DOUBLE + CASE WHEN past = budget_code THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.1::DOUBLE) * trust AS score
+  FROM c LEFT JOIN h USING (v, prefix), w WHERE (base_code = bb AND bb <> '') OR (cost_type = bt AND bt <> '')),
+r AS (SELECT *, row_number() OVER (PARTITION BY cost_key ORDER BY score DESC, history_count DESC, budget_code) AS rank FROM s WHERE score >= 0.4)
+SELECT cost_key, budget_code, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM r WHERE rank <= 3""")
+def suggestions_with_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cost, with what was chosen for its vendor and name before, and the trust in each code; texts count as 0.8 alike."""
+    costs, budgets, past = _learned(spark, sf)
+    return _shown(mapping.suggested(costs, budgets, past, flat=0.8))
 
 
 @query()
 def suggestions_with_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Costs with few candidates by code and type get the next budgets too, which their texts may lift."""
-    costs, budgets = _codes(spark, sf)
-    placed = budgets.withColumn("place", F.row_number().over(Window.orderBy("budget_code")))  # one row a budget code: a configured list
-    pairs = mapping.filled(mapping.candidates(costs, budgets), costs, placed, "place")
-    return _ranked(pairs, costs, budgets, lambda a, b: fuzzy.token_set_ratio(F.lower(a), F.lower(b)) / 100)
+    """Every cost, with history, trust and its text; classes with few candidates by code and type get the next budget codes too, which texts may lift."""
+    costs, budgets, past = _learned(spark, sf)
+    return _shown(mapping.suggested(costs, budgets, past, alike=lambda a, b: fuzzy.token_set_ratio(text.words(a), text.words(b)) / 100, fill=50))
 
 
 #: The five best of all budget codes for the first cost, as DuckDB expressions.

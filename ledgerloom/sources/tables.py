@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import to_cents
@@ -12,21 +12,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line item; returned items are credits. Items whose part or supplier is unknown stay, with a null code, division or vendor. ``cost_key`` names a row by its columns. Dimensions are joined by key; Spark
-    broadcasts those whose size it knows to be small and shuffles the others."""
+def cost_key() -> Column:
+    """The name of a cost row, from columns of ``cost_rows``."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "date")])
+
+
+def cost_rows(spark: SparkSession, sf_dir: str, vendors: bool = True) -> DataFrame:
+    """One row for each line item; returned items are credits. Items whose part or supplier is unknown stay, with a null code, division or vendor. Dimensions are joined by key; Spark broadcasts those whose size it knows to be
+    small and shuffles the others. Without ``vendors`` the columns vendor and zone are left out, and suppliers aren't read. ``cost_key`` names a row; who keeps few rows builds it for those only."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("cost_code"), F.col("p_name").alias("name"), F.col("p_type").alias("division"))
-    region = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    vendor = read(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey"))
-    zone = F.when(F.col("n_regionkey").isin(0, 1), "EAST").when(F.col("n_regionkey").isin(2, 3), "WEST").otherwise("SHARED")
-    vendor = vendor.select("s_suppkey", F.col("s_name").alias("vendor"), zone.alias("zone"))
-    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(vendor, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    if vendors:
+        region = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+        vendor = read(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey"))
+        zone = F.when(F.col("n_regionkey").isin(0, 1), "EAST").when(F.col("n_regionkey").isin(2, 3), "WEST").otherwise("SHARED")
+        rows = rows.join(vendor.select("s_suppkey", F.col("s_name").alias("vendor"), zone.alias("zone")), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     cents = to_cents(F.col("l_extendedprice"))
-    date = F.col("l_shipdate").cast("date")
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"), date.cast("string"))
     return rows.select(
-        key.alias("cost_key"), "cost_code", "name", "division", "vendor", F.col("l_orderkey").cast("string").alias("invoice"), date.alias("date"),
-        (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * cents).alias("amount_cents"), "zone", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("quantity"), F.col("l_orderkey"),
+        "cost_code", "name", "division", *(["vendor", "zone"] if vendors else []), F.col("l_shipdate").cast("date").alias("date"), (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * cents).alias("amount_cents"),
+        cents.alias("cents"), "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("quantity"),
+    )
+
+
+def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cost_rows`` with their names as ``cost_key`` and their invoices."""
+    return cost_rows(spark, sf_dir).select(
+        cost_key().alias("cost_key"), "cost_code", "name", "division", "vendor", F.col("l_orderkey").cast("string").alias("invoice"), "date", "amount_cents", "zone", "l_partkey", "l_suppkey", "quantity", "l_orderkey",
     )
 
 

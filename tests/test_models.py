@@ -1,10 +1,12 @@
 """Exact quantiles, bins of intervals and errors over time folds against numpy."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import features, quantiles, ranges
+from ledgerloom.operators import features, fuzzy, mapping, quantiles, ranges
 
 
 @pytest.mark.parametrize("spread", [1, 50, 10**7, 2**61])
@@ -56,3 +58,43 @@ def test_split_errors_of_several_features(spark):
         assert got[k][:2] == (n, folds)
         if k != "b":  # two rows can't settle four coefficients: the least norm depends on rounding
             assert got[k][2] == pytest.approx(np.mean(errors) if folds else 0.0, rel=1e-6)
+
+
+def test_suggestions_are_what_scoring_every_pair_would_give(spark):
+    """Nulls, blanks, repeated and tied rows, histories within and beyond a class's best, codes that are not trusted, with and without texts."""
+    rng = random.Random(5)
+    words = ["steel", "deck", "pipe", "wall", "paint", ""]
+    pick = lambda *xs: rng.choice(xs)
+    costs = [(f"c{i}", pick("Acme Inc", "acme", "Bolt", None), pick(None, " ".join(rng.choices(words, k=2))), pick("1", "2", "", None), pick("L", "S", "M", "", None)) for i in range(150)]
+    budgets = [(f"b{i:02}", pick("1", "2", "3", ""), pick("L", "S", "M", ""), pick(None, " ".join(rng.choices(words, k=3))), pick(1, 2), pick(1.0, 0.9, 0.4)) for i in range(24)]
+    past = [(v, p, f"b{rng.randrange(24):02}") for v in ("acme", "bolt", "") for p in ("steel deck", "pipe wall", "paint", "")]
+    c = spark.createDataFrame(costs, "cost_key string, vendor string, name string, base_code string, cost_type string")
+    b = spark.createDataFrame(budgets, "budget_code string, base_code string, cost_type string, description string, history_count int, trust double")
+    h = spark.createDataFrame(past, "vendor string, prefix string, budget_code string")
+    known = {(v, p): code for v, p, code in past if v or p}
+    vendors = {"Acme Inc": "acme", "acme": "acme", "Bolt": "bolt", None: ""}
+
+    def kinds(x, y):
+        return 0.0 if not x or not y else 1.0 if x == y else mapping.TYPE_SCORES.get((x, y), 0.2)
+
+    def best(fill, alike):
+        out = set()
+        for key, vendor, name, base, kind in costs:
+            met = [r for r in budgets if (base and r[1] == base) or (kind and r[2] == kind)]
+            if len(met) < fill:
+                short = fill - len(met)
+                met += [r for r in budgets[: 2 * short] if r not in met][:short]
+            scored = []
+            for code, bb, bt, told, n, trust in met:
+                before = known.get((vendors[vendor], (name or "")[:20].strip()))
+                score = ((0.4 if base and base == bb else 0.0) + kinds(kind, bt) * 0.2 + alike(name or "", told or "") * 0.3 + (0.1 if before == code else 0.0)) * trust
+                scored += [(-score, -n, code)] if score >= mapping.LEAST else []
+            out |= {(key, code, rank, round(-score, 9)) for rank, (score, _, code) in enumerate(sorted(scored)[:3], 1)}
+        return out
+
+    run = lambda **kw: {(r.cost_key, r.budget_code, r.rank, round(r.score, 9)) for r in mapping.suggested(c, b, h, **kw).collect()}
+    assert run() == best(0, lambda x, y: 0.5)
+    told = lambda x, y: fuzzy.token_set(x, y) / 100
+    texts = run(alike=lambda x, y: fuzzy.token_set_ratio(x, y) / 100, fill=12)
+    assert texts == best(12, told) and texts != run(fill=12)
+    assert mapping.suggested(c.limit(0), b, h, fill=3).count() == 0 and mapping.suggested(c, b.limit(0), h, fill=3).count() == 0
