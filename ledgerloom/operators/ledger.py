@@ -23,8 +23,8 @@ def budget_divisions(budgets: DataFrame, saved: DataFrame, keys: DataFrame, divi
     tier = F.when(F.col("tier2").contains(" - "), F.regexp_extract("tier2", "^.*? - (.*)$", 1)).otherwise(F.col("tier2"))
     met = met.withColumn("_tier", tier)
     open_ = met.where(F.col("_saved").isNull() & F.col("_key").isNull())
-    told = fuzzy.best_match(open_, "description", divisions, "division", fuzzy.token_set_ratio, BY_DESCRIPTION, "place").select("description", F.col("division").alias("_told"), F.col("score").alias("_told_score"))
-    tiers = fuzzy.best_match(open_, "_tier", divisions, "division", fuzzy.token_set_ratio, BY_TIER, "place").select("_tier", F.col("division").alias("_tiered"), F.col("score").alias("_tier_score"))
+    told = fuzzy.best_match(open_, "description", divisions, "division", fuzzy.token_sort_ratio, BY_DESCRIPTION, "place").select("description", F.col("division").alias("_told"), F.col("score").alias("_told_score"))
+    tiers = fuzzy.best_match(open_, "_tier", divisions, "division", fuzzy.token_sort_ratio, BY_TIER, "place").select("_tier", F.col("division").alias("_tiered"), F.col("score").alias("_tier_score"))
     met = met.join(told, "description", "left").join(tiers, "_tier", "left")
     steps = [("_saved", F.col("_sure"), "saved"), ("_key", F.lit(BY_KEY), "division_key"), ("_told", F.col("_told_score") / 100, "fuzzy_description"), ("_tiered", F.col("_tier_score") / 100, "fuzzy_tier")]
     method, sure = F.lit("unmapped"), F.lit(0.0)

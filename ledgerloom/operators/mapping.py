@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import fuzzy
 
 #: Weights of a match score, its bands, and scores of unlike cost types (alike: 1, others: 0.2).
 WEIGHTS = {"code": 0.4, "type": 0.2, "text": 0.3, "history": 0.1}
 BANDS, LEAST = ((0.85, "high"), (0.60, "medium")), 0.40
+#: Fixed value: least likeness of a name and a description.
+LIKE = 60.0
 TYPE_SCORES = {("L", "S"): 0.5, ("S", "L"): 0.5, ("M", "S"): 0.4, ("S", "M"): 0.4, ("LB", "L"): 1.0, ("L", "LB"): 1.0, ("SC", "S"): 1.0, ("S", "SC"): 1.0}
 
 
@@ -29,14 +32,19 @@ def by_precedence(sources: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def mapped_costs(costs: DataFrame, saved: DataFrame, budgets: DataFrame) -> DataFrame:
     """(cost_key, budget_id, method, confidence): the saved budget of (cost_code, name); else, among the budgets of the code, the only one (0.9),
-    the first of the cost's type (0.85), or the first (0.5). Budgets are reduced to one row a code and type before the join, so costs don't multiply."""
+    the first of the cost's type (0.85), the one whose description is most like the cost's name (by sorted tokens, from ``LIKE`` on; its score), or the first (0.5). Budgets are reduced to one row a code and type before the join, so costs
+    don't multiply; only distinct names that are left open are compared with their code's descriptions."""
     first = budgets.groupBy("budget_code").agg(F.count(F.lit(1)).alias("n"), F.min("budget_id").alias("any_id"))
     typed = budgets.groupBy("budget_code", "cost_type").agg(F.min("budget_id").alias("typed_id"))
     met = costs.join(saved.select("cost_code", "name", F.col("budget_id").alias("saved_id")), ["cost_code", "name"], "left")
     met = met.join(first.withColumnRenamed("budget_code", "cost_code"), "cost_code", "left").join(typed.withColumnRenamed("budget_code", "cost_code"), ["cost_code", "cost_type"], "left")
-    method = F.when(F.col("saved_id").isNotNull(), "saved").when(F.col("n") == 1, "single").when(F.col("typed_id").isNotNull(), "type").when(F.col("n") > 1, "first")
-    chosen = F.coalesce("saved_id", F.when(F.col("n") == 1, F.col("any_id")), "typed_id", "any_id")
-    score = F.when(method == "saved", 1.0).when(method == "single", 0.9).when(method == "type", 0.85).when(method == "first", 0.5).otherwise(0.0)
+    open_ = met.where(F.col("saved_id").isNull() & (F.col("n") > 1) & F.col("typed_id").isNull())
+    told = budgets.select(F.col("budget_code").alias("cost_code"), "description", F.col("budget_id").alias("like_id"))
+    like = fuzzy.best_within(open_, ["cost_code"], "name", told, "description", "like_id", LIKE).select("cost_code", "name", "like_id", F.col("score").alias("_like"))
+    met = met.join(like, ["cost_code", "name"], "left")
+    method = F.when(F.col("saved_id").isNotNull(), "saved").when(F.col("n") == 1, "single").when(F.col("typed_id").isNotNull(), "type").when(F.col("like_id").isNotNull(), "fuzzy").when(F.col("n") > 1, "first")
+    chosen = F.coalesce("saved_id", F.when(F.col("n") == 1, F.col("any_id")), "typed_id", "like_id", "any_id")
+    score = F.when(method == "saved", 1.0).when(method == "single", 0.9).when(method == "type", 0.85).when(method == "fuzzy", F.col("_like") / 100).when(method == "first", 0.5).otherwise(0.0)
     return met.select("cost_key", chosen.alias("budget_id"), F.coalesce(method, F.lit("none")).alias("method"), score.alias("confidence"))
 
 

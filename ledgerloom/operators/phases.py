@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.money import safe_ratio
+from . import fuzzy
 from .schedule import day, days_in, weight, with_progress
 
 #: The order of phases.
 ORDER = ("MOBILIZATION", "SITE_PREP", "FOUNDATION", "STRUCTURE", "ENVELOPE", "MEP_ROUGH", "FINISHES", "SITE_FINISHES", "OTHER")
+#: Fixed value: least likeness of an activity's text and a division.
+LIKE = 60.0
 
 
 def place_of(phase: Column) -> Column:
@@ -98,6 +102,35 @@ def division_of(task: Column, prefixes: dict[str, str], keywords: dict[str, str]
     return out
 
 
+def activity_matches(activities: DataFrame, divisions: DataFrame, prefixes: dict[str, str], keywords: dict[str, str]) -> DataFrame:
+    """(activity_id, name, division, source, confidence) of each distinct activity. Rules come in their order: the first prefix that its id begins with, else the first keyword in its name, of those rules whose division ``divisions``
+    (division, place) lists: as it is (0.95, 0.80), or as part of a listed one's name or the other way round (0.90, 0.75; the first of such). Else the division whose name is most like id and name, from ``LIKE`` on; its score. Letter case never counts."""
+    spark = activities.sparkSession
+    rules = [(kind, k, key.upper(), name.lower(), sure) for kind, sure, table in (("prefix_match", 0.95, prefixes), ("keyword_match", 0.80, keywords)) for k, (key, name) in enumerate(table.items())]
+    rules = spark.createDataFrame(rules, "source string, nth int, key string, target string, sure double")
+    low = F.lower("division")
+    partial = F.contains(low, F.col("target")) | F.contains(F.col("target"), low)
+    resolved = rules.join(divisions.select("division", "place"), partial).withColumn("_same", low == F.col("target"))  # rules and divisions: configured lists
+    resolved = resolved.groupBy("source", "nth", "key", "sure").agg(F.max(F.struct("_same", (-F.col("place")).alias("p"), "division")).alias("d"))
+    resolved = resolved.select("nth", "source", "key", F.col("d.division").alias("division"), (F.col("sure") - F.when(F.col("d._same"), 0.0).otherwise(0.05)).alias("confidence"))
+    sorted_rules = fuzzy.listed(resolved, ["nth", "source", "key", "division", "confidence"]).select(F.sort_array("_l").alias("_l"))
+
+    asked = activities.select("activity_id", "name").distinct().crossJoin(F.broadcast(sorted_rules))  # one row
+    code, name = F.upper(F.coalesce("activity_id", F.lit(""))), F.upper(F.coalesce("name", F.lit("")))
+    asked = asked.withColumns({"_id": code, "_name": name})
+    by_id = F.filter("_l", lambda r: (r["source"] == "prefix_match") & F.startswith(F.col("_id"), r["key"]))
+    by_name = F.filter("_l", lambda r: (r["source"] == "keyword_match") & F.contains(F.col("_name"), r["key"]))
+    asked = asked.withColumn("_hit", F.coalesce(F.get(by_id, F.lit(0)), F.get(by_name, F.lit(0)))).withColumn("_text", F.when(F.col("_hit").isNull() & (F.trim("_name") != ""), text.for_matching(F.concat_ws(" ", "activity_id", "name"))))
+    plain = divisions.select(text.for_matching(F.col("division")).alias("_plain"), "division", "place")
+    plain = plain.where(F.col("_plain") != "").groupBy("_plain").agg(F.min("place").alias("place"), F.min_by("division", "place").alias("_division"))
+    like = fuzzy.best_match(asked, "_text", plain, "_plain", fuzzy.token_set_ratio, LIKE, "place").join(plain.select("_plain", "_division"), "_plain")
+    met = asked.drop("_l").join(like.select("_text", "_division", "score"), "_text", "left")
+    return met.select(
+        "activity_id", "name", F.coalesce("_hit.division", "_division").alias("division"), F.when(F.col("_hit").isNotNull(), F.col("_hit.source")).when(F.col("_division").isNotNull(), "fuzzy_match").otherwise("none").alias("source"),
+        F.round(F.coalesce(F.col("_hit.confidence"), F.col("score") / 100, F.lit(0.0)), 6).alias("confidence"),
+    )
+
+
 def period_features(activities: DataFrame, months: DataFrame) -> DataFrame:
     """(division, month, …): schedule features at the middle of each month: activities that are active, starting, finishing, complete and critical, active days
     in the month, days since the first and to the last peak. Every activity meets only the months it touches; the peak is the start of the busiest month."""

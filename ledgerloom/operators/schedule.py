@@ -112,5 +112,5 @@ def matched_divisions(activities: DataFrame, divisions: DataFrame, cutoff: float
     asked = F.lower(F.trim(F.concat_ws(" ", "name", "wbs")))
     listed = divisions.select(F.lower("division").alias("_told"), "place", F.col("division").alias("gmp_division"))
     rows = activities.withColumn("_asked", asked)
-    best = fuzzy.best_match(rows, "_asked", listed, "_told", fuzzy.token_set_ratio, cutoff, "place").join(F.broadcast(listed.drop("place")), "_told")
+    best = fuzzy.best_match(rows, "_asked", listed, "_told", fuzzy.token_set_ratio, cutoff, "place").join(listed.drop("place"), "_told")
     return rows.join(best.select("_asked", "gmp_division", F.col("score").alias("match_score")), "_asked", "left").na.fill({"match_score": 0.0}).drop("_asked")
