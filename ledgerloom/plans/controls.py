@@ -31,13 +31,14 @@ def budget_underflows(spark: SparkSession, sf: str) -> DataFrame:
     return controls.underflows(budgets, tables.costs(spark, sf), changes)
 
 
-@query(f"""{WITH}o AS (SELECT division, budget_id % 40 AS number, budget_id AS revision, CASE WHEN budget_id % 3 = 0 THEN 'approved' WHEN budget_id % 3 = 1 THEN 'pending' ELSE 'rejected' END AS status, committed_cents AS cents FROM budgets WHERE division <> 'PROMO'),
+@query(f"""{WITH}o AS (SELECT division, budget_id % 40 AS number, budget_id AS revision, CASE WHEN division = 'PROMO' THEN 'rejected' WHEN budget_id % 3 = 0 THEN 'approved' WHEN budget_id % 3 = 1 THEN 'pending' ELSE 'rejected' END AS status, committed_cents AS cents FROM budgets),
 n AS (SELECT * FROM o QUALIFY revision = max(revision) OVER (PARTITION BY division, number)), s AS (SELECT division, coalesce(sum(cents) FILTER (status = 'approved'), 0) AS a, coalesce(sum(cents) FILTER (status = 'pending'), 0) AS p FROM n GROUP BY 1)
 SELECT division, sov_cents AS base_cents, CAST(coalesce(a, 0) AS BIGINT) AS approved_cents, CAST(coalesce(p, 0) AS BIGINT) AS pending_cents, CAST(sov_cents + coalesce(a, 0) AS BIGINT) AS ceiling_cents FROM breakdown LEFT JOIN s USING (division)""")
 def change_order_ceilings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every budget as a change order; one division has rejected ones only."""
     k = F.col("budget_id")
-    status = F.when(k % 3 == 0, "approved").when(k % 3 == 1, "pending").otherwise("rejected")
-    orders = tables.budgets(spark, sf).where(F.col("division") != "PROMO").select("division", (k % 40).alias("number"), k.alias("revision"), status.alias("status"), F.col("committed_cents").alias("cents"))
+    status = F.when(F.col("division") == "PROMO", "rejected").when(k % 3 == 0, "approved").when(k % 3 == 1, "pending").otherwise("rejected")
+    orders = tables.budgets(spark, sf).select("division", (k % 40).alias("number"), k.alias("revision"), status.alias("status"), F.col("committed_cents").alias("cents"))
     return controls.ceilings(tables.breakdown(spark, sf), orders)
 
 
