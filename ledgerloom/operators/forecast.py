@@ -110,9 +110,15 @@ def blended(periods: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def period_forecast(costs: DataFrame, plans: DataFrame, key: str, start: str, end: str, as_of: str, grain: str = "week", method: str = "linear") -> DataFrame:
-    """Actuals of ``costs`` (key, date, amount_cents) and the spread of ``plans`` (key, etc_cents) by period. Dates map to their period, so no range join is needed."""
+    """Actuals of ``costs`` (key, date, amount_cents) and the spread of ``plans`` (key, etc_cents) by period. Dates map to their period, so no range join is needed.
+    Sides of costs (east_cents, west_cents) give ``actual_east_cents`` and ``actual_west_cents``; a ``west_ratio`` of plans parts each period's forecast, whose east side takes the rest."""
     first = dates.week_start if grain == "week" else dates.month_start
-    actual = costs.groupBy(key, first(F.col("date")).alias("period_start")).agg(F.sum("amount_cents").alias("actual"))
+    sums = {"actual_cents": "amount_cents"} | {f"actual_{c}": c for c in ("east_cents", "west_cents") if c in costs.columns}
+    actual = costs.groupBy(key, first(F.col("date")).alias("period_start")).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     rows = spine(plans, start, end, as_of, grain).join(actual, [key, "period_start"], "left")
-    known = F.when(F.col("period_type") != "future", F.coalesce("actual", F.lit(0))).otherwise(0).cast("long")
-    return blended(distributed(rows.withColumn("actual_cents", known).drop("actual"), [key], "etc_cents", method), [key])
+    known = {c: F.when(F.col("period_type") != "future", F.coalesce(c, F.lit(0))).otherwise(0).cast("long") for c in sums}
+    spread = distributed(rows.withColumns(known), [key], "etc_cents", method)
+    if "west_ratio" in plans.columns:
+        west = truncated(F.col("forecast_cents") * F.col("west_ratio"))
+        spread = spread.withColumns({"forecast_west_cents": west, "forecast_east_cents": F.col("forecast_cents") - west})
+    return blended(spread, [key])

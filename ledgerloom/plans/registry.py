@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bookkeeping, controls, costs, duplicates, forecasts, functions, ledger, listings, mappings, methods, models, phases, registers, schedules, streams, sweeps, trees
+from . import bookkeeping, changes, controls, costs, duplicates, forecasts, functions, ledger, listings, mappings, methods, models, phases, positions, registers, schedules, streams, sweeps, trees
 
-MODULES = (costs, duplicates, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers, models, sweeps, trees, methods, listings)
+MODULES = (costs, duplicates, forecasts, schedules, mappings, functions, streams, ledger, controls, phases, bookkeeping, registers, models, sweeps, trees, methods, listings, changes, positions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
