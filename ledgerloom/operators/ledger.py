@@ -107,3 +107,25 @@ def entity_rollup(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.sum("budget_cents").alias("budget_cents"), F.sum("eac_cents").alias("eac_cents"), F.sum("surplus_cents").alias("surplus_cents"),
         F.round(F.avg(F.when(F.col("surplus_cents") < 0, 1.0).otherwise(0.0)), 6).alias("mean_risk"), F.floor(F.sum("budget_cents") * 0.05).cast("long").alias("contingency_cents"), F.floor(F.sum("budget_cents") * 0.03).cast("long").alias("fee_cents"),
     )
+
+
+def _same(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+
+
+def on_side(costs: DataFrame, mappings: DataFrame, side: str | None, keys: list[str], include_both: bool = True) -> DataFrame:
+    """Costs whose ``keys`` are mapped (keys, side) to a side. ``EAST`` and ``WEST`` take what is mapped to ``BOTH`` too, unless ``include_both`` is off; ``BOTH`` takes itself only. All costs stay if no side is asked for,
+    or if nothing is mapped to it. Nulls in keys are equal to each other. A cost comes once however many mappings it has."""
+    if side is None:
+        return costs
+    sides = [side, "BOTH"] if include_both and side != "BOTH" else [side]
+    mapped = mappings.where(F.col("side").isin(*sides)).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    any_ = mapped.agg((F.count(F.lit(1)) == 0).alias("_none"))
+    met = costs.join(mapped.withColumn("_hit", F.lit(True)), _same(keys), "left").crossJoin(F.broadcast(any_))  # one row
+    return met.where(F.col("_hit") | F.col("_none")).select(*costs.columns)
+
+
+def off_side(costs: DataFrame, mappings: DataFrame, keys: list[str]) -> DataFrame:
+    """Costs whose ``keys`` have no mapping; nulls are equal to each other."""
+    known = mappings.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return costs.join(known, _same(keys), "left_anti")

@@ -190,3 +190,37 @@ def code_trust(spark: SparkSession, sf: str) -> DataFrame:
     """Trust in each budget code from accepted and overridden choices (here: costs east and west)."""
     sums = tables.costs(spark, sf).groupBy("cost_code").agg(F.count_if(F.col("zone") == "EAST").alias("accepted"), F.count_if(F.col("zone") == "WEST").alias("overridden"))
     return sums.withColumn("trust", F.round(mapping.trust(F.col("accepted"), F.col("overridden")), 6))
+
+
+SIDES = f"""{WITH}c AS (SELECT cost_code, CASE WHEN l_partkey % 17 <> 0 THEN name END AS name, amount_cents FROM costs),
+m AS (SELECT budget_code AS cost_code, CASE WHEN budget_id % 17 <> 0 THEN description END AS name, CASE budget_id % 5 WHEN 0 THEN 'EAST' WHEN 1 THEN 'WEST' WHEN 2 THEN 'BOTH' END AS side FROM budgets WHERE budget_id % 5 < 3)"""
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Costs and mappings by code and name, some names null in both; two budgets of five have no mapping."""
+    costs = tables.cost_rows(spark, sf, vendors=False).select("cost_code", F.when(F.col("l_partkey") % 17 != 0, F.col("name")).alias("name"), "amount_cents")
+    k = F.col("budget_id")
+    side = F.when(k % 5 == 0, "EAST").when(k % 5 == 1, "WEST").when(k % 5 == 2, "BOTH").alias("side")
+    return costs, tables.budgets(spark, sf).where(k % 5 < 3).select(F.col("budget_code").alias("cost_code"), F.when(k % 17 != 0, F.col("description")).alias("name"), side)
+
+
+def _on_sql(asked: str, sides: str) -> str:
+    return f"SELECT '{asked}' AS asked, count(*) AS n_costs, CAST(sum(amount_cents) AS BIGINT) AS cents FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.cost_code IS NOT DISTINCT FROM c.cost_code AND m.name IS NOT DISTINCT FROM c.name AND side IN ({sides}))"
+
+
+@query(f"""{SIDES} {_on_sql('EAST', "'EAST', 'BOTH'")} UNION ALL {_on_sql('WEST alone', "'WEST'")} UNION ALL {_on_sql('BOTH', "'BOTH'")}
+UNION ALL SELECT unnest(['NORTH', 'all']), count(*), CAST(sum(amount_cents) AS BIGINT) FROM c""")
+def costs_on_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs by side: east with both, west without, both alone, a side that nothing is mapped to, and no side."""
+    costs, mappings = _sides(spark, sf)
+    out = None
+    for name, side, both in (("EAST", "EAST", True), ("WEST alone", "WEST", False), ("BOTH", "BOTH", True), ("NORTH", "NORTH", False), ("all", None, True)):
+        one = ledger.on_side(costs, mappings, side, ["cost_code", "name"], both).agg(F.lit(name).alias("asked"), F.count(F.lit(1)).alias("n_costs"), F.sum("amount_cents").alias("cents"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"{SIDES} SELECT cost_code, count(*) AS n_costs, CAST(sum(amount_cents) AS BIGINT) AS cents FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.cost_code IS NOT DISTINCT FROM c.cost_code AND m.name IS NOT DISTINCT FROM c.name) GROUP BY 1")
+def costs_unmapped_by_tuple(spark: SparkSession, sf: str) -> DataFrame:
+    costs, mappings = _sides(spark, sf)
+    return ledger.off_side(costs, mappings, ["cost_code", "name"]).groupBy("cost_code").agg(F.count(F.lit(1)).alias("n_costs"), F.sum("amount_cents").alias("cents"))

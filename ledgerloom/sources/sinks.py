@@ -18,9 +18,12 @@ def as_json(frame: DataFrame) -> DataFrame:
     return clean.select(F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The merged table, and an audit of changed rows (keys, old_value, new_value as JSON). Of several new rows of a key the one with the largest values, in the order of the columns, counts."""
-    new = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in old.columns if c not in keys])).alias("_v")).select(*keys, "_v.*")
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merged table, and an audit of changed rows (keys, old_value, new_value as JSON). Of several new rows of a key the last by ``order``, a column of ``new`` alone, counts; without it the one with the largest values, in the order of the columns.
+    Rows of one ``order`` are told apart by their values, largest last."""
+    packed_values = F.struct(*[c for c in old.columns if c not in keys])
+    newest = F.max(packed_values) if order is None else F.max(F.struct(F.col(order).alias("_o"), packed_values.alias("_v")))["_v"]
+    new = new.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")
     values = [c for c in old.columns if c not in keys]
     packed = lambda f, name: f.select(*keys, F.to_json(F.struct(*values)).alias(name))
     merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -3,7 +3,8 @@
 import datetime
 import random
 
-from ledgerloom.operators import changes, kpis, recon
+from ledgerloom.operators import changes, kpis, ledger, recon
+from ledgerloom.sources import sinks
 from pyspark.sql import functions as F
 
 
@@ -130,3 +131,21 @@ def test_sides_that_do_not_tie(spark):
     costs = spark.createDataFrame([("a", 10, 5, 5), ("a", 11, 5, 5), ("b", 10, 9, 9), (None, 4, None, 4)], "division string, amount_cents long, e long, w long")
     got = recon.row_tie_out(costs, costs.groupBy("division").agg(F.sum("amount_cents").alias("actual_cents")).where("division is not null"), "e", "w")
     assert [tuple(r) for r in got.collect()] == [(4, 1, 9, 1, False)]
+
+
+def test_last_row_wins(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, w string")
+    new = spark.createDataFrame([("a", 9, "z", 1), ("a", 3, None, 2), ("b", 2, "y", 1), ("c", None, "n", 1)], "k string, v int, w string, at int")
+    merged, audit = sinks.upserted(old, new, ["k"], "at")
+    assert rows(merged, "k", "v", "w") == [("a", 3, None), ("b", 2, "y"), ("c", None, "n")]
+    assert rows(audit, "k", "old_value", "new_value") == [("a", '{"v":1,"w":"x"}', '{"v":3}'), ("c", None, '{"w":"n"}')]
+
+
+def test_sides_by_tuple(spark):
+    costs = spark.createDataFrame([("a", "x", 1), ("a", None, 2), (None, None, 3), ("b", "x", 4), ("b", "x", 4)], "cost_code string, name string, n int")
+    maps = spark.createDataFrame([("a", "x", "EAST"), ("a", "x", "BOTH"), ("a", None, "BOTH"), ("b", "x", "WEST")], "cost_code string, name string, side string")
+    keys = ["cost_code", "name"]
+    kept = lambda side, **more: sorted(r["n"] for r in ledger.on_side(costs, maps, side, keys, **more).collect())
+    assert [kept("EAST"), kept("EAST", include_both=False), kept("WEST"), kept("BOTH"), kept(None), kept("NORTH", include_both=False)] == [[1, 2], [1], [1, 2, 4, 4], [1, 2], [1, 2, 3, 4, 4], [1, 2, 3, 4, 4]]
+    assert [r["n"] for r in ledger.off_side(costs, maps, keys).collect()] == [3]
+    assert ledger.on_side(costs.limit(0), maps.limit(0), "EAST", keys).count() == 0
