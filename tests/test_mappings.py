@@ -100,3 +100,14 @@ def test_newest_entries_and_trades_of_one_key(spark):
     budgets = spark.createDataFrame([("carpentry drywall", 5), ("Carpentry Drywall", 6), ("Roof", 7)], "division string, current_budget_cents bigint")
     got = lambda n: {r.trade: r.budget_cents for r in listings.trade_budgets(trades, budgets, n).collect()}
     assert got(False) == {"Carpentry, Drywall": 0, "Roof": 7, None: 0} and got(True) == {"Carpentry, Drywall": 11, "Roof": 7, None: 0}
+
+
+def test_likeness_of_long_and_odd_texts(spark):
+    """Texts beyond one word of bits, with repeated tokens, blanks of all kinds and characters outside the first plane."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcé😀") for _ in range(draw.randint(1, 9)))
+    text = lambda: draw.choice([" ", "  ", "\t", "\u2003", "\n"]).join(word() for _ in range(draw.choice([1, 2, 9, 40])))
+    texts, choices = [text() for _ in range(40)] + [" ", "", None, "a" * 62, "a" * 63, "b" * 124], [text() for _ in range(40)] + [" ", None, "a" * 62, "ab" * 62]
+    got = fuzzy.best_within(spark.createDataFrame([("k", t) for t in texts], "k string, t string"), ["k"], "t", spark.createDataFrame([("k", c, i) for i, c in enumerate(choices)], "k string, c string, i long"), "c", "i", 0.0)
+    want = {t: max((fuzzy.token_sort(t, c), -i) for i, c in enumerate(choices) if c) for t in texts if t}
+    assert {r["t"]: (r["score"], -r["i"]) for r in got.collect()} == want
