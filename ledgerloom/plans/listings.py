@@ -33,9 +33,11 @@ def cost_row_ids(spark: SparkSession, sf: str) -> DataFrame:
 FROM members JOIN costs ON row_id = cost_key ORDER BY group_id, row_id""")
 def duplicates_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Members of groups with their rows for display, ordered by group and row."""
-    rows = tables.costs(spark, sf).select(F.col("cost_key").alias("row_id"), "vendor", "invoice", money.display(F.col("amount_cents")).alias("amount"), "date")
+    rows = tables.cost_items(spark, sf).withColumn("_h", F.xxhash64(tables.cost_key()))  # keys, long texts, meet by their hashes first
     shown = _duplicates(spark, sf).select("group_id", "row_id", "method", F.format_string("%.2f%%", F.col("score") * 100).alias("score"))
-    return shown.join(rows, "row_id").select("group_id", "row_id", "method", "score", "vendor", "invoice", "amount", "date").orderBy("group_id", "row_id")
+    met = shown.withColumn("_h", F.xxhash64("row_id")).join(rows, "_h").where(tables.cost_key() == F.col("row_id"))
+    met = met.join(tables.vendors(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return met.select("group_id", "row_id", "method", "score", "vendor", F.col("l_orderkey").cast("string").alias("invoice"), money.display(F.col("amount_cents")).alias("amount"), "date").orderBy("group_id", "row_id")
 
 
 @query(f"""{ALLOCATED} SELECT division, activity_id, start_date, CAST(round(expected_cost / 1000) AS BIGINT) AS expected_cost, CAST(row_number() OVER (PARTITION BY division ORDER BY {WEIGHT} DESC, start_date, activity_id) AS INTEGER) AS place FROM al""")
