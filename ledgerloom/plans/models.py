@@ -28,12 +28,12 @@ def robust_z(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT date, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n_costs FROM costs GROUP BY date)
 SELECT period_id, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(n_costs) AS BIGINT) AS n_costs, count(*) AS n_days FROM p JOIN d ON date BETWEEN a AND a + n GROUP BY period_id""")
 def actuals_by_period(spark: SparkSession, sf: str) -> DataFrame:
-    """Actuals of periods that overlap and are of uneven length, one for each customer: days are summed first, then met by bins."""
+    """Actuals of periods that overlap and are of uneven length, one for each customer: days are summed first, then run up, and a period takes the difference of two days."""
     c = F.col("c_custkey")
     periods = tables.read(spark, sf, "customer").select(c.alias("period_id"), F.date_add(F.lit("1992-01-01").cast("date"), (c * 37 % 2500).cast("int")).alias("start"), (c * c % 700).cast("int").alias("n"))
-    days = tables.costs(spark, sf).groupBy("date").agg(F.sum("amount_cents").alias("cents"), F.count(F.lit(1)).alias("n_costs"))
-    met = ranges.in_intervals(days, ranges.day(F.col("date")), periods, ranges.day(F.col("start")), ranges.day(F.col("start")) + F.col("n"))
-    return met.groupBy("period_id").agg(F.sum("cents").alias("cents"), F.sum("n_costs").alias("n_costs"), F.count(F.lit(1)).alias("n_days"))
+    days = tables.cost_items(spark, sf).groupBy("date").agg(F.sum("amount_cents").alias("cents"), F.count(F.lit(1)).alias("n_costs"))
+    met = ranges.sums_in_intervals(days, "date", ["cents", "n_costs"], periods, F.col("start"), F.date_add("start", F.col("n")))
+    return met.groupBy("period_id").agg(F.sum("cents").alias("cents"), F.sum("n_costs").alias("n_costs"), F.sum("n_points").alias("n_days"))
 
 
 PANEL = """m AS (SELECT division, zone, date_trunc('month', date)::DATE AS month, CAST(sum(abs(amount_cents)) // 100 AS BIGINT) AS y FROM costs WHERE division IS NOT NULL AND zone IS NOT NULL GROUP BY ALL),

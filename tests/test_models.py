@@ -98,3 +98,16 @@ def test_suggestions_are_what_scoring_every_pair_would_give(spark):
     texts = run(alike=lambda x, y: fuzzy.token_set_ratio(x, y) / 100, fill=12)
     assert texts == best(12, told) and texts != run(fill=12)
     assert mapping.suggested(c.limit(0), b, h, fill=3).count() == 0 and mapping.suggested(c, b.limit(0), h, fill=3).count() == 0
+
+
+def test_sums_of_intervals_from_running_sums(spark):
+    import datetime as dt
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    points = {3: 5, 4: None, 9: -2, 12: 7}
+    frame = spark.createDataFrame([*[(day(n), v) for n, v in points.items()], (None, 99)], "d date, v bigint")
+    spans = [(i, a, b) for i, (a, b) in enumerate([(a, b) for a in range(0, 16) for b in range(a - 1, 18)])]
+    got = ranges.sums_in_intervals(frame, "d", ["v"], spark.createDataFrame([*[(i, day(a), day(b)) for i, a, b in spans], (-1, None, day(3))], "i int, a date, b date"), F.col("a"), F.col("b"))
+    inner = {i: [v for n, v in points.items() if a <= n <= b] for i, a, b in spans}
+    assert {(r.i, r.v, r.n_points) for r in got.collect()} == {(i, sum(x for x in v if x is not None) if any(x is not None for x in v) else None, len(v)) for i, v in inner.items() if v}
+    assert ranges.sums_in_intervals(frame.limit(0), "d", ["v"], spark.createDataFrame([(1, day(1), day(2))], "i int, a date, b date"), F.col("a"), F.col("b")).count() == 0
