@@ -12,6 +12,8 @@ from . import ranges
 MIDDLE, BACK, MONTH_DAYS = 15, 6, 30
 #: Expected costs below this are what running sums leave of nothing.
 NOISE = 1e-4
+#: Types of the lines' constants and slopes, in cents and cents a day.
+MONEY, SLOPE = "decimal(28, 10)", "decimal(28, 14)"
 COUNTS = ("active", "critical", "complete", "floats")
 
 
@@ -27,13 +29,13 @@ def month_seen(day: Column) -> Column:
 def events(activities: DataFrame, origin: Column) -> DataFrame:
     """(division, month, deltas): what each activity changes from a month on. Its start adds it to the active ones and begins a line of expected cost; the day after
     its finish takes both away and adds it to the complete ones with its whole cost. Costs are lines a + b * t in days t since ``origin``, so the sums of all lines
-    tell the cost at any day, and no activity is repeated for the months it lasts."""
+    tell the cost at any day, and no activity is repeated for the months it lasts. Both are decimals: what a line adds at its start goes whole at its end, in any order of sums."""
     slope = F.col("expected_cost") / F.greatest(F.datediff("finish_date", "start_date"), F.lit(1))
     at = F.datediff("start_date", origin)
     critical = F.coalesce(F.col("is_critical"), F.lit(False)).cast("long")
     change = lambda day, sign, done: F.struct(
         month_seen(day).alias("month"), F.lit(sign).cast("long").alias("active"), (critical * sign).alias("critical"), F.lit(done).cast("long").alias("complete"), (F.col("float_days").cast("long") * sign).alias("floats"),
-        (-slope * at * sign + F.col("expected_cost") * done).alias("a"), (slope * sign).alias("b"),
+        ((-slope * at * sign).cast(MONEY) + (F.col("expected_cost") * done).cast(MONEY)).alias("a"), (slope * sign).cast(SLOPE).alias("b"),
     )
     each = activities.select("division", F.explode(F.array(change(F.col("start_date"), 1, 0), change(F.date_add("finish_date", 1), -1, 1))).alias("e")).select("division", "e.*")
     return each.groupBy("division", "month").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "a", "b")])
@@ -85,10 +87,10 @@ def schedule_features(activities: DataFrame, monthly: DataFrame, budgets: DataFr
     rows = own.withColumn("spent", F.col("cents")).join(changes, ["division", "month"], "full").na.fill(0, list(sums))
     by = Window.partitionBy("division").orderBy("month")
     rows = running(rows, ["division"], sums).where("told").withColumn("mean_cost", F.avg("cents").over(by.rowsBetween(-(BACK - 1), 0)))
-    trade = dated.groupBy("division").agg(F.count(F.lit(1)).alias("n"), F.min("start_date").alias("first"), F.max("finish_date").alias("last"), F.sum("expected_cost").alias("whole"), F.collect_set("phase").alias("phases"))  # phases: a configured list
+    trade = dated.groupBy("division").agg(F.count(F.lit(1)).alias("n"), F.min("start_date").alias("first"), F.max("finish_date").alias("last"), F.sum(F.col("expected_cost").cast(MONEY)).cast("double").alias("whole"), F.collect_set("phase").alias("phases"))  # phases: a configured list
     rows = rows.join(project, "month").join(trade, "division", "left").join(budgets, "division", "left").na.fill(0, ["n", "budget"]).na.fill(0.0, ["whole"])
     at = F.col("as_of_date")
-    line = F.col("a") + F.col("b") * F.datediff(at, "origin")
+    line = (F.col("a") + F.col("b") * F.datediff(at, "origin")).cast("double")
     rows = rows.withColumn("expected", F.when(F.abs(line) < NOISE, 0.0).otherwise(line))
     rest = F.col("whole") - F.col("expected")
     cpi = F.when(F.col("spent") > 0, F.col("expected") / F.col("spent")).otherwise(1.0)

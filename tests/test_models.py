@@ -111,3 +111,15 @@ def test_sums_of_intervals_from_running_sums(spark):
     inner = {i: [v for n, v in points.items() if a <= n <= b] for i, a, b in spans}
     assert {(r.i, r.v, r.n_points) for r in got.collect()} == {(i, sum(x for x in v if x is not None) if any(x is not None for x in v) else None, len(v)) for i, v in inner.items() if v}
     assert ranges.sums_in_intervals(frame.limit(0), "d", ["v"], spark.createDataFrame([(1, day(1), day(2))], "i int, a date, b date"), F.col("a"), F.col("b")).count() == 0
+
+
+def test_lines_of_finished_activities_leave_their_whole_cost(spark):
+    """Large costs and odd lengths: in doubles what starts add isn't what ends take away."""
+    import datetime as dt
+
+    from ledgerloom.operators import sweep
+
+    rows = [("d", dt.date(2020, 1, 1 + i % 28), dt.date(2021, 1, 1) + dt.timedelta(days=i * 7 % 300), i % 2 == 0, i % 5, 10.0**11 + i / 4) for i in range(300)]
+    frame = spark.createDataFrame(rows, "division string, start_date date, finish_date date, is_critical boolean, float_days int, expected_cost double")
+    got = sweep.events(frame, F.lit("2019-06-01").cast("date")).agg(F.sum("a").cast("string").alias("a"), F.sum("b").cast("string").alias("b")).first()
+    assert (float(got.a), float(got.b)) == (300 * 10**11 + sum(range(300)) / 4, 0.0)
