@@ -99,50 +99,62 @@ def filled(met: DataFrame, costs: DataFrame, budgets: DataFrame, order: str, lea
     return met.unionByName(more.select(*keys, "budget_code"))
 
 
-def suggested(costs: DataFrame, budgets: DataFrame, past: DataFrame | None = None, k: int = 3, alike=None, flat: float = 0.5, fill: int = 0) -> DataFrame:
+def suggested(costs: DataFrame, budgets: DataFrame, past: DataFrame | None = None, k: int = 3, alike=None, flat: float = 0.5, fill: int = 0, kinds: DataFrame | None = None) -> DataFrame:
     """(cost_key, budget_code, score, rank, band): the k best budget codes of every cost of (cost_key, vendor, name, base_code, cost_type), by score (at least ``LEAST``), then history, then code; nulls count as blanks.
 
     Budgets: (budget_code, base_code, cost_type, description, history_count) and, if there, ``trust``, by which a code's scores are multiplied. ``past`` is what ``history`` gives: a code that was chosen for a cost's vendor
     and name before gets the history score if it is a candidate. ``alike`` compares a name and a description (0 to 1); without it all texts count as ``flat`` alike.
 
-    Costs are not met with codes. Scores of code and type belong to a class, so without texts only a class's k best codes and the one code of a cost's history can be among its k best. With texts, each distinct name is compared with the
-    codes of its class that could still reach ``LEAST`` and the class's k-th code, if their texts were equal and the others' had nothing in common. What costs share is ranked once and joined back."""
+    Costs are not met with codes. Scores of code and type belong to a class, those of texts to a class and a name, so only their k best codes and the one code of a cost's history can be among its k best. With texts, each distinct name
+    is compared with the codes of its class that could still reach ``LEAST`` and the class's k-th code, if their texts were equal and the others' had nothing in common. What costs share is ranked once and joined back.
+
+    ``kinds``, if there, holds the (name, base_code, cost_type) of all costs, and maybe more, so that costs are read once, for the join. Histories that may meet a kind are those of its name's prefix. A column ``vendor_key`` of costs is
+    taken as their normalised vendor, which is then worked out once for each vendor and not for each cost."""
     blank = lambda *names: {c: F.coalesce(F.col(c), F.lit("")) for c in names}
     budgets = budgets.withColumns(blank("base_code", "cost_type", "description"))
     budgets = budgets if "trust" in budgets.columns else budgets.withColumn("trust", F.lit(1.0))
-    costs = costs.select("cost_key", *[c.alias(n) for n, c in blank("vendor", "name", *CLASS).items()])
+    costs = _keyed(costs).select("cost_key", *[c.alias(n) for n, c in blank("vendor_key", "name", *CLASS).items()])
+    own = [*CLASS, *(["name"] if alike else [])]
+    keys = [*own, "_past"]
+    kinds = (costs if kinds is None else kinds.withColumns(blank("name", *CLASS))).select("name", *CLASS).distinct()
+    variants = kinds.select(*own, F.lit("").alias("_past"))
     if past is None:
         costs = costs.withColumn("_past", F.lit(""))
     else:
-        known = past.where((F.col("vendor") != "") | (F.col("prefix") != "")).withColumnRenamed("budget_code", "_past")
-        costs = costs.withColumns({"vendor": text.vendor(F.col("vendor")), "prefix": text.name_prefix(F.col("name"))}).join(known, ["vendor", "prefix"], "left").withColumns(blank("_past"))
-    keys = [*CLASS, *(["name"] if alike else []), "_past"]
-    variants = costs.select(*keys).distinct()
-
-    pairs = candidates(variants.select(*CLASS).distinct(), budgets, fill).join(budgets.withColumnsRenamed({"base_code": "_bb", "cost_type": "_bt"}), "budget_code")
+        known = past.where((F.col("vendor") != "") | (F.col("prefix") != "")).select(F.col("vendor").alias("vendor_key"), "prefix", F.col("budget_code").alias("_past"))
+        prefix = text.name_prefix(F.col("name"))
+        costs = costs.withColumn("prefix", prefix).join(known, ["vendor_key", "prefix"], "left").withColumns(blank("_past"))
+        seen = known.where(F.col("_past") != "").select("prefix", "_past").distinct()
+        variants = variants.unionByName(kinds.withColumn("prefix", prefix).join(seen, "prefix").select(*keys))
+    variants = variants.distinct()
+
+    pairs = candidates(kinds.select(*CLASS).distinct(), budgets, fill).join(budgets.withColumnsRenamed({"base_code": "_bb", "cost_type": "_bt"}), "budget_code")
     code = F.when((F.col("base_code") == F.col("_bb")) & (F.col("_bb") != ""), 1.0).otherwise(0.0)
     kind = type_score(F.col("cost_type"), F.col("_bt"))
     pairs = pairs.withColumns({"_code": code, "_kind": kind})
     scored = lambda alike, before: match_score(F.col("_code"), F.col("_kind"), alike, before, F.col("trust"))
-    order = (F.desc("history_count"), "budget_code")
     if alike is None:
-        base = scored(F.lit(flat), F.lit(0.0))
-        placed = pairs.withColumn("_place", F.row_number().over(Window.partitionBy(*CLASS).orderBy(base.desc(), *order)))
-        own = variants.where(F.col("_past") != "").join(placed.where(F.col("_place") > k), CLASS).where(F.col("_past") == F.col("budget_code"))
-        met = variants.join(placed.where(F.col("_place") <= k), CLASS).unionByName(own).withColumn("_alike", F.lit(flat))
+        met = pairs.withColumn("_alike", F.lit(flat))
     else:
         low, high = scored(F.lit(0.0), F.lit(0.0)), scored(F.lit(1.0), F.lit(1.0))
         placed = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*CLASS).orderBy(low.desc())))
         floor = F.coalesce(F.min(F.when(F.col("_r") == k, low)).over(Window.partitionBy(*CLASS)), F.lit(0.0))
         open_ = placed.withColumn("_floor", floor).where(high >= F.greatest(F.lit(LEAST), F.col("_floor")) - 1e-9).drop("_r", "_floor")
-        named = variants.select("name", *CLASS).distinct().join(open_, CLASS)
-        met = variants.join(named.withColumn("_alike", alike(F.col("name"), F.col("description"))), [*CLASS, "name"])
+        met = kinds.join(open_, CLASS).withColumn("_alike", alike(F.col("name"), F.col("description")))
+    met = met.withColumn("_place", F.row_number().over(Window.partitionBy(*own).orderBy(scored(F.col("_alike"), F.lit(0.0)).desc(), F.desc("history_count"), "budget_code")))
+    more = variants.where(F.col("_past") != "").join(met.where(F.col("_place") > k), own).where(F.col("_past") == F.col("budget_code"))
+    met = variants.join(met.where(F.col("_place") <= k), own).unionByName(more)
     before = F.when(F.col("_past") == F.col("budget_code"), 1.0).otherwise(0.0)
     best = top(met.withColumn("score", scored(F.col("_alike"), before)), k, keys)
     listed = best.groupBy(*keys).agg(F.collect_list(F.struct("budget_code", "score", "rank", "band")).alias("_l"))  # at most k of each
     return costs.join(listed, keys).select("cost_key", F.explode("_l").alias("_s")).select("cost_key", "_s.*")
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with the normalised vendor as ``vendor_key``, which callers may have worked out before."""
+    return rows if "vendor_key" in rows.columns else rows.withColumn("vendor_key", text.vendor(F.col("vendor")))
+
+
 def top(scored: DataFrame, k: int = 3, keys: list[str] | None = None) -> DataFrame:
     """The k best suggestions of each cost (or of ``keys``) of at least ``LEAST``: by score, then history, then code."""
     place = F.row_number().over(Window.partitionBy(*(keys or ["cost_key"])).orderBy(F.desc("score"), F.desc("history_count"), "budget_code"))
@@ -150,6 +162,7 @@ def top(scored: DataFrame, k: int = 3, keys: list[str] | None = None) -> DataFra
 
 
 def history(feedback: DataFrame) -> DataFrame:
-    """(vendor, prefix, budget_code): the newest accepted choice, before any override."""
+    """(vendor, prefix, budget_code): the newest accepted choice, before any override. A column ``vendor_key`` is taken as the normalised vendor."""
     place = F.row_number().over(Window.partitionBy("vendor", "prefix").orderBy("was_override", F.desc("created_at"), "budget_code"))
-    return feedback.withColumns({"vendor": text.vendor(F.col("vendor")), "prefix": text.name_prefix(F.col("name"))}).withColumn("_r", place).where(F.col("_r") == 1).select("vendor", "prefix", "budget_code")
+    rows = _keyed(feedback).select(F.coalesce("vendor_key", F.lit("")).alias("vendor"), text.name_prefix(F.col("name")).alias("prefix"), "budget_code", "was_override", "created_at")
+    return rows.withColumn("_r", place).where(F.col("_r") == 1).select("vendor", "prefix", "budget_code")

@@ -17,11 +17,12 @@ def cost_key() -> Column:
     return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "date")])
 
 
-def cost_rows(spark: SparkSession, sf_dir: str, vendors: bool = True) -> DataFrame:
+def cost_rows(spark: SparkSession, sf_dir: str, vendors: bool = True, spread: bool = False) -> DataFrame:
     """One row for each line item; returned items are credits. Items whose part or supplier is unknown stay, with a null code, division or vendor. Dimensions are joined by key; Spark broadcasts those whose size it knows to be
-    small and shuffles the others. Without ``vendors`` the columns vendor and zone are left out, and suppliers aren't read. ``cost_key`` names a row; who keeps few rows builds it for those only."""
+    small and shuffles the others. Without ``vendors`` the columns vendor and zone are left out, and suppliers aren't read. ``cost_key`` names a row; who keeps few rows builds it for those only.
+    With ``spread`` parts are dealt over tasks and not broadcast: their names repeat, so that files small enough for a broadcast may hold millions of them, too many for the driver where a query meets them more than once."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("cost_code"), F.col("p_name").alias("name"), F.col("p_type").alias("division"))
-    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    rows = read(spark, sf_dir, "lineitem").join(part.hint("shuffle_hash") if spread else part, F.col("l_partkey") == F.col("p_partkey"), "left")
     if vendors:
         region = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
         vendor = read(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey"))
