@@ -45,9 +45,9 @@ def cost_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s_suppkey, vendor) of suppliers of a known nation, as ``cost_rows`` has them."""
+    """(s_suppkey, vendor) of suppliers of a known nation, as ``cost_rows`` has them. A semi join, of whose size Spark knows that it is no more than the suppliers'."""
     nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"))
-    return read(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("s_suppkey", F.col("s_name").alias("vendor"))
+    return read(spark, sf_dir, "supplier").join(nations, "s_nationkey", "left_semi").select("s_suppkey", F.col("s_name").alias("vendor"))
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.operators import fuzzy, mapping
 from ledgerloom.plans import registry
+from ledgerloom.sources import tables
 
 
 @pytest.mark.parametrize("name", ["suggestions_with_text", "suggestions_with_history"])
@@ -46,3 +47,9 @@ def test_kinds_and_vendor_keys_change_nothing(spark):
     for more in ({}, {"alike": lambda x, y: fuzzy.token_set_ratio(x, y) / 100, "fill": 8}):
         want = rows(mapping.suggested(costs, budgets, mapping.history(told), **more))
         assert want and rows(mapping.suggested(keyed(costs), budgets, mapping.history(keyed(told)), kinds=kinds, **more)) == want
+
+
+def test_vendors_are_no_larger_than_suppliers(spark, sf):
+    """Spark takes a join to be as large as the product of its sides, and so shuffled all costs by supplier."""
+    plan = tables.vendors(spark, sf)._jdf.queryExecution().optimizedPlan()
+    assert "LeftSemi" in plan.toString() and int(str(plan.stats().sizeInBytes())) < 10_000
